@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op9_configuration_lp_packing
 from .sharding import op8_hash_tree_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_configuration_lp_packing": op9_configuration_lp_packing,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
 }
 
