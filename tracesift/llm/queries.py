@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op9_configuration_lp_packing
 from .sharding import op8_hash_tree_sharding
+from .tokenstore import op10_content_addressed_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_configuration_lp_packing": op9_configuration_lp_packing,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
+    "op10_content_addressed_tokens": op10_content_addressed_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {}
