@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op9_configuration_lp_packing
 from .sharding import op8_hash_tree_sharding
+from .simhash import op1_simhash_near_dedup
 from .tokenstore import op10_content_addressed_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op9_configuration_lp_packing": op9_configuration_lp_packing,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op10_content_addressed_tokens": op10_content_addressed_tokens,
