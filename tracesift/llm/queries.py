@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP7_SQL, op7_suffix_automaton_decontamination
 from .packing import op9_configuration_lp_packing
 from .sharding import op8_hash_tree_sharding
 from .simhash import op1_simhash_near_dedup
@@ -13,9 +14,12 @@ from .tokenstore import op10_content_addressed_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op7_suffix_automaton_decontamination": op7_suffix_automaton_decontamination,
     "op9_configuration_lp_packing": op9_configuration_lp_packing,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op10_content_addressed_tokens": op10_content_addressed_tokens,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_suffix_automaton_decontamination": OP7_SQL,
+}
