@@ -10,10 +10,12 @@ from .decontamination import OP7_SQL, op7_suffix_automaton_decontamination
 from .packing import op9_configuration_lp_packing
 from .sharding import op8_hash_tree_sharding
 from .simhash import op1_simhash_near_dedup
+from .substrings import op5_substring_dedup
 from .tokenstore import op10_content_addressed_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_suffix_automaton_decontamination": op7_suffix_automaton_decontamination,
     "op9_configuration_lp_packing": op9_configuration_lp_packing,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
