@@ -12,11 +12,13 @@ from .sharding import op8_hash_tree_sharding
 from .simhash import op1_simhash_near_dedup
 from .substrings import op5_substring_dedup
 from .tokenstore import op10_content_addressed_tokens
+from .vptree import OP4_SQL, op4_vantage_point_neighbours
 from .warc import OP2_SQL, op2_warc_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_warc_chunks": op2_warc_chunks,
+    "op4_vantage_point_neighbours": op4_vantage_point_neighbours,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_suffix_automaton_decontamination": op7_suffix_automaton_decontamination,
     "op9_configuration_lp_packing": op9_configuration_lp_packing,
@@ -26,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_chunks": OP2_SQL,
+    "op4_vantage_point_neighbours": OP4_SQL,
     "op7_suffix_automaton_decontamination": OP7_SQL,
 }
