@@ -12,6 +12,7 @@ from .sharding import op8_hash_tree_sharding
 from .simhash import op1_simhash_near_dedup
 from .substrings import op5_substring_dedup
 from .tokenstore import op10_content_addressed_tokens
+from .toxicity import op6_ordinal_toxicity
 from .vptree import OP4_SQL, op4_vantage_point_neighbours
 from .warc import OP2_SQL, op2_warc_chunks
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_chunks": op2_warc_chunks,
     "op4_vantage_point_neighbours": op4_vantage_point_neighbours,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_suffix_automaton_decontamination": op7_suffix_automaton_decontamination,
     "op9_configuration_lp_packing": op9_configuration_lp_packing,
     "op8_hash_tree_sharding": op8_hash_tree_sharding,
