@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP7_SQL, op7_suffix_automaton_decontamination
 from .packing import op9_configuration_lp_packing
+from .pii import op3_information_theoretic_pii
 from .sharding import op8_hash_tree_sharding
 from .simhash import op1_simhash_near_dedup
 from .substrings import op5_substring_dedup
@@ -19,6 +20,7 @@ from .warc import OP2_SQL, op2_warc_chunks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_warc_chunks": op2_warc_chunks,
+    "op3_information_theoretic_pii": op3_information_theoretic_pii,
     "op4_vantage_point_neighbours": op4_vantage_point_neighbours,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
