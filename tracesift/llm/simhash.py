@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, table
+from .common import Scratch, arrow_batches, table, text_key
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -53,8 +53,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, piece: in
 
 def _fingerprints(batches, shingle: int):
     for batch in batches:
-        fps = [fingerprint(t.as_py() or b"", shingle) for t in batch.column("text")]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.record_batch([*(batch.column(c) for c in names), pa.array(fps)], names=[*names, "fp"])
 
 
 def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -138,11 +139,12 @@ def _edges(batches, distance: int):
     yield out(keys, fps)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint and component_id of every document."""
+def grouped(scratch: Scratch, docs: DataFrame, columns: str, distance: int = DISTANCE, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """The given columns of every document (as DDL; `doc_id long` among them), fp and component_id."""
+    spark = scratch.spark
     arrow_batches(spark)
-    scratch = Scratch(spark, "simhash")
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
+    names = [c.split()[0] for c in columns.split(", ")]
+    found = docs.select(*names, F.col("text").cast("binary").alias("text")).mapInArrow(partial(_fingerprints, shingle=shingle), f"{columns}, fp long")
     found = scratch.write(found, "fingerprints")
     fps = scratch.write(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     rows = variants(fps.select("fp"), distance, bucket).repartition("key").sortWithinPartitions("key")
@@ -155,7 +157,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTAN
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = parts.join(least, "component").select("fp", "component_id")
     of = scratch.write(fps.join(named.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), "classes")
-    return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(of, "fp")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document."""
+    rows = grouped(Scratch(spark, "simhash"), docs, "doc_id long", distance, shingle, bucket)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """Of each component the document with the smallest doc_id (then text key), with all its columns."""
+    scratch = Scratch(spark, "simhash")
+    rows = grouped(scratch, docs.select("doc_id", "text", text_key().alias("key")), "doc_id long, key binary", distance, shingle)
+    # components whose doc_ids are all null have no name: there the fingerprint's text keys tell them apart
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key"))
+    named = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first.alias("x"))
+    kept = scratch.write(named.select(F.xxhash64("x.key", "x.doc_id").alias("_pick"), F.col("x.key").alias("_key")), "kept")
+    keyed = docs.withColumns({"_key": text_key(), "_pick": F.xxhash64(text_key(), "doc_id")})
+    return keyed.join(kept, ["_pick", "_key"], "left_semi").dropDuplicates(["_pick", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
