@@ -11,12 +11,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from array import array
 
 import numpy as np
 
 #: Entries of a worker's table; a full table is kept once more as the older one, then forgotten.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Letters past Latin Extended may be classed by another Unicode version in Python than in the library.
@@ -72,6 +73,7 @@ class Encoder:
         self.pretokens = regex.compile(_PRETOKEN).findall
         self.letters = _byte_letters()
         self.letters_in_lines = self.letters | {10: "\n"}
+        self.marks = {c: self._plain(c) for c in string.punctuation} if self.by_piece else {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -106,19 +108,43 @@ class Encoder:
         self._learn_parts(set(parts))
         return b"".join(map(self.parts.__getitem__, parts))
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters alone: with the space before, each is one part."""
+        letters = "\n ".join(words).encode().decode("latin-1").translate(self.letters_in_lines)
+        tokenize, code, known = self.model.tokenize, self.code, self.words
+        for w, x in zip(words, (self.letters[32] + letters).split("\n"), strict=True):
+            known[w] = array(code, [t.id for t in tokenize(x)]).tobytes()
+
     def _learn_words(self, words: set[str]) -> None:
         """Words that follow a space. One that is empty or ends in white space may join what follows: False."""
-        known, older, bulk = self.words, self.older_words, []
+        known, older, bulk, letters, marked = self.words, self.older_words, [], {}, []
         for w in words:
             got = older.get(w)
             if got is not None:
                 known[w] = got
             elif not w or w[-1].isspace():
                 known[w] = False
-            elif w[0].isspace() or _MARK in w or (not w.isascii() and max(w) > _LATIN):
+            elif not w.isascii() and max(w) > _LATIN:
+                known[w] = self._ids(" " + w)
+            elif w.isalpha():
+                letters[w] = None
+            elif w[-1] in self.marks and w[:-1].isalpha():
+                base = w[:-1]
+                marked.append((w, base))
+                if base not in known:
+                    got = older.get(base)
+                    if got is None:
+                        letters[base] = None
+                    else:
+                        known[base] = got
+            elif w[0].isspace() or _MARK in w:
                 known[w] = self._ids(" " + w)
             else:
                 bulk.append(w)
+        if letters:
+            self._learn_letters(list(letters))
+        for w, base in marked:
+            known[w] = known[base] + self.marks[w[-1]]
         if not bulk:
             return
         parts = self.pretokens(" " + f"{_MARK} ".join(bulk))  # the mark before a space is a part of its own
