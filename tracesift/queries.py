@@ -296,10 +296,10 @@ ORACLE_SQL: dict[str, str] = {
       FROM matches m LEFT JOIN joins j ON j.trace_id = m.trace_id AND j.call_idx = m.sink_idx""",
     "witness_paths": f"""WITH RECURSIVE {_VERBATIM}, want AS (SELECT DISTINCT trace_id, source_idx, sink_idx FROM matches), ends AS (SELECT trace_id, max(idx) AS last FROM nodes GROUP BY trace_id),
       edges AS (SELECT n.trace_id, n.idx AS a, n.idx + 1 AS b FROM nodes n JOIN ends USING (trace_id) WHERE n.idx < last UNION SELECT trace_id, call_idx, result_idx FROM joins),
-      walk(trace_id, source_idx, at, steps) USING KEY (trace_id, source_idx, at) AS (SELECT DISTINCT trace_id, source_idx, source_idx, 0 FROM want
-        UNION SELECT w.trace_id, w.source_idx, e.b, min(w.steps + 1) FROM walk w JOIN edges e ON e.trace_id = w.trace_id AND e.a = w.at
-          LEFT JOIN recurring.walk r ON r.trace_id = w.trace_id AND r.source_idx = w.source_idx AND r.at = e.b WHERE r.steps IS NULL OR r.steps > w.steps + 1 GROUP BY ALL)
-      SELECT want.trace_id, CAST(want.source_idx AS BIGINT) AS source_idx, CAST(want.sink_idx AS BIGINT) AS sink_idx, CAST(min(steps) AS BIGINT) AS steps FROM want JOIN walk ON walk.trace_id = want.trace_id AND walk.source_idx = want.source_idx AND walk.at = want.sink_idx GROUP BY ALL""",
+      walk(trace_id, source_idx, node, steps) USING KEY (trace_id, source_idx, node) AS (SELECT DISTINCT trace_id, source_idx, source_idx, 0 FROM want
+        UNION SELECT w.trace_id, w.source_idx, e.b, min(w.steps + 1) FROM walk w JOIN edges e ON e.trace_id = w.trace_id AND e.a = w.node
+          LEFT JOIN recurring.walk r ON r.trace_id = w.trace_id AND r.source_idx = w.source_idx AND r.node = e.b WHERE r.steps IS NULL OR r.steps > w.steps + 1 GROUP BY ALL)
+      SELECT want.trace_id, CAST(want.source_idx AS BIGINT) AS source_idx, CAST(want.sink_idx AS BIGINT) AS sink_idx, CAST(min(steps) AS BIGINT) AS steps FROM want JOIN walk ON walk.trace_id = want.trace_id AND walk.source_idx = want.source_idx AND walk.node = want.sink_idx GROUP BY ALL""",
     "needle_hits": f"WITH {SURFACES_SQL}, {PLACEMENTS_SQL} SELECT surface, record, placement, 'raw' AS form FROM surfaces JOIN placements ON contains(text, value) WHERE surface IN ('pages.html', 'documents.text')",
     "needle_hits_encoded": f"""WITH {SURFACES_SQL}, {PLACEMENTS_SQL}, h AS (SELECT surface, record, placement FROM surfaces JOIN placements ON contains(text, value) WHERE surface IN ('pages.html', 'documents.text'))
       SELECT surface || '.hex' AS surface, record, placement, 'hex' AS form FROM h UNION ALL SELECT surface || '.base64', record, placement, 'base64' FROM h""",
