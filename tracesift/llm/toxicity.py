@@ -2,11 +2,11 @@
 
 A text's features are its words and their first 4, 5 and 6 bytes, hashed, with their counts. One weight
 vector serves all thresholds: P(grade > k) = sigmoid(w.x - t_k) with t_0 < t_1, and the expected severity is
-the sum of these. Weights are fitted with an L1 penalty, so that the thousands of ordinary words of a long
-text weigh nothing; only features that labelled toxic documents have clearly more often than others enter.
+the sum of these. Only features that labelled toxic documents have clearly more often than others enter the fit, so
+the thousands of ordinary words of a long text weigh nothing.
 
-The labels say toxic or not. Toxic documents are graded 1 or 2 by how dense the entering features are in
-them, below or above the median; the fit takes any integer grades.
+The labels say toxic or not. Toxic documents are graded 1 or 2 by how much evidence (log ratios of the entering
+features, summed) they hold, below or above the median; the fit takes any integer grades.
 
 The model is fitted on the driver from at most `most` toxic and `most` other labelled documents, those with
 the smallest hashed doc_id, by their hashed features; clean ones weigh as many as they stand for. Every fifth
@@ -32,8 +32,9 @@ from .common import arrow_batches, byte_class, mix, span_hashes, table, word_spa
 
 #: Bound of either class in the training sample, hashed dimensions, and byte lengths of word beginnings.
 MOST, DIMENSIONS, BEGINNINGS = 3000, 1 << 20, (4, 5, 6)
-#: Features entering the fit, documents that must hold one, L1 penalty, steps.
-ENTERING, SUPPORT, PENALTY, STEPS = 4096, 3, 2e-4, 400
+#: Features entering the fit, documents that must hold one, errors by which its ratio must differ from 1, the least ratio,
+#: quadratic penalty in documents, steps.
+ENTERING, SUPPORT, SURE, RATIO, PENALTY, STEPS = 4096, 3, 2.5, 20.0, 0.1, 300
 
 _LETTERS = [b for b in range(256) if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80]
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _LETTERS else 0x20 for b in range(256))
@@ -72,31 +73,59 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, weight: np.ndarray, width: int, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative-link model: accelerated proximal gradient on sparse counts."""
+    """Weights and thresholds of the cumulative-link model with a quadratic penalty, by limited-memory BFGS.
+
+    The thresholds are the first one and the logarithms of the gaps after it, so they stay in order.
+    """
     n, top = len(grades), int(grades.max())
     share = weight / weight.sum()
-    above = np.array([share[grades > k].sum() for k in range(top)]).clip(1e-6, 1 - 1e-6)
-    t = np.log((1 - above) / above)
-    w = np.zeros(width)
-    look, look_t, momentum = w, t, 1.0
-    scale = 1.0 / (1e-9 + np.bincount(columns, weights=share[rows] * values**2, minlength=width))  # a step for each feature
-    scale = np.minimum(scale, 400.0) * 0.25
-    for _ in range(steps):
-        z = np.bincount(rows, weights=values * look[columns], minlength=n)
-        low = np.where(grades > 0, _sigmoid(z - np.concatenate([[0], look_t])[grades]), 1.0)  # P(at least its grade)
-        high = np.where(grades < top, _sigmoid(z - np.concatenate([look_t, [0]])[grades]), 0.0)  # P(more than its grade)
+    below, above = grades > 0, grades < top
+
+    def thresholds(x: np.ndarray) -> np.ndarray:
+        return x[width] + np.concatenate([[0.0], np.cumsum(np.exp(x[width + 1 :]))])
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, t = x[:width], thresholds(x)
+        z = np.bincount(rows, weights=values * w[columns], minlength=n)
+        low = np.where(below, _sigmoid(z - t[np.maximum(grades, 1) - 1]), 1.0)  # P(at least its grade)
+        high = np.where(above, _sigmoid(z - t[np.minimum(grades, top - 1)]), 0.0)  # P(more than its grade)
         p = np.maximum(low - high, 1e-12)
-        d_low, d_high = np.where(grades > 0, low * (1 - low), 0.0) / p, np.where(grades < top, high * (1 - high), 0.0) / p
-        slope = share * (d_high - d_low)  # of the loss, by z
-        grad = np.bincount(columns, weights=values * slope[rows], minlength=width)
-        grad_t = np.array([(share * d_low)[grades == k + 1].sum() - (share * d_high)[grades == k].sum() for k in range(top)])
-        new = look - scale * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - scale * penalty, 0.0)
-        new_t = np.sort(look_t - 2.0 * grad_t)
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        look, look_t = new + (momentum - 1) / following * (new - w), new_t + (momentum - 1) / following * (new_t - t)
-        w, t, momentum = new, new_t, following
-    return w, t
+        d_low, d_high = share * low * (1 - low) / p, share * high * (1 - high) / p
+        grad_t = np.array([d_low[grades == k + 1].sum() - d_high[grades == k].sum() for k in range(top)])
+        tails = np.cumsum(grad_t[::-1])[::-1]
+        grad = np.bincount(columns, weights=values * (d_high - d_low)[rows], minlength=width) + penalty / n * w
+        return -float((share * np.log(p)).sum()) + penalty / n / 2 * float(w @ w), np.concatenate([grad, tails[:1], np.exp(x[width + 1 :]) * tails[1:]])
+
+    share_above = np.clip([share[grades > k].sum() for k in range(top)], 1e-6, 1 - 1e-6)
+    x = np.concatenate([np.zeros(width), [np.log(1 / share_above[0] - 1)], np.zeros(top - 1)])
+    value, grad = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        way, kept = -grad, []
+        for s, y, r in reversed(past):
+            kept.append(r * float(s @ way))
+            way = way - kept[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            way = way * float(s @ y) / float(y @ y)
+        for (s, y, r), a in zip(past, reversed(kept), strict=True):
+            way = way + s * (a - r * float(y @ way))
+        slope, size = float(grad @ way), 1.0 if past else 1.0 / max(1e-12, float(np.abs(grad).max()))
+        while size > 1e-10:
+            new_value, new_grad = loss(x + size * way)
+            if new_value <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * way, new_grad - grad
+        done = value - new_value < 1e-9 * max(1.0, abs(value))
+        x, value, grad = x + s, new_value, new_grad
+        if float(s @ y) > 1e-14:
+            past = [*past[-9:], (s, y, 1.0 / float(s @ y))]
+        if done:
+            break
+    return x[:width], thresholds(x)
 
 
 def _count(batches):
@@ -113,7 +142,6 @@ def _count(batches):
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     arrow_batches(spark, 200)
-    nothing = Model(np.zeros(DIMENSIONS, dtype=np.float32), np.array([40.0]), 0.5)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [known.filter(F.col("toxic") > 0), known.filter(F.col("toxic") <= 0)]
@@ -121,6 +149,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
     sample = F.broadcast(some[0].unionByName(some[1]))  # 2 * most rows at most
     found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(sample, "doc_id").select("toxic", "text")
     got = found.mapInArrow(_count, "toxic boolean, words long, features array<int>, counts array<int>").toArrow()
+    return fit(got, total.get(True, 0), total.get(False, 0))
+
+
+def fit(got: pa.Table, all_toxic: int, all_other: int) -> Model:
+    """A model from sampled rows (toxic, words, features, counts), weighed up to the labels' numbers."""
+    nothing = Model(np.zeros(DIMENSIONS, dtype=np.float32), np.array([40.0]), 0.5)
     toxic = got.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
     if not toxic.any() or toxic.all():
         return nothing
@@ -138,7 +172,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
     with_other = np.bincount(columns[fitted & ~toxic[rows]], minlength=DIMENSIONS)
     n_toxic, n_other = max(1, int((toxic & ~held).sum())), max(1, int((~toxic & ~held).sum()))
     a, b = (with_toxic + 0.5) / (n_toxic + 1), (with_other + 0.5) / (n_other + 1)
-    gain = np.where((with_toxic >= SUPPORT) & (a > 3 * b), with_toxic * np.log(a / b), 0.0)
+    sure = np.log(a / b) / np.sqrt(1 / (with_toxic + 0.5) + 1 / (with_other + 0.5))  # of the log ratio, in its errors
+    gain = np.where((with_toxic >= SUPPORT) & (sure >= SURE) & (a > RATIO * b), with_toxic * np.log(a / b), 0.0)
     entering = np.argsort(-gain, kind="stable")[:ENTERING]
     entering = entering[gain[entering] > 0]
     if not len(entering):
@@ -147,9 +182,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
     place[entering] = np.arange(len(entering))
     kept = place[columns] >= 0
     rows, columns, values = rows[kept], place[columns[kept]], np.minimum(values[kept], 8)
-    dense = np.bincount(rows, weights=values, minlength=len(toxic)) / np.maximum(1, got.column("words").to_numpy())
-    grades = np.where(toxic, 1 + (dense > np.median(dense[toxic])), 0)
-    weight = np.where(toxic, total.get(True, 1) / max(1, int(toxic.sum())), total.get(False, 1) / max(1, int((~toxic).sum())))
+    evidence = np.bincount(rows, weights=values * np.log(a / b)[entering][columns], minlength=len(toxic))
+    grades = np.where(toxic, 1 + (evidence > np.median(evidence[toxic])), 0)
+    weight = np.where(toxic, max(1, all_toxic) / int(toxic.sum()), max(1, all_other) / int((~toxic).sum()))
     use = ~held[rows]
     number = np.cumsum(~held) - 1
     w, t = fit_ordinal(number[rows[use]], columns[use], values[use], grades[~held], weight[~held], len(entering))
