@@ -183,7 +183,7 @@ def _scan(batches, automaton, more: bool):
 
 
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS, keep_text: bool = False) -> DataFrame:
-    """doc_id (with `keep_text` all columns), n_words, the disjoint spans of words hit, and the items found."""
+    """doc_id (with `keep_text` all columns as one, `row`), n_words, the disjoint spans of words hit, the items found."""
     arrow_batches(spark)
     scratch = Scratch(spark, "decontamination")
     own = docs if keep_text else docs.select("doc_id", "text")
@@ -199,7 +199,7 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
         if following is not None:
             now, k = scratch.write(now, f"pass-{k}"), k + 1
         automaton = following
-    return now.select("row.*", "n_words", "spans", "items")
+    return now.select("row" if keep_text else "row.doc_id", "n_words", "spans", "items")
 
 
 def _digest(batches):
@@ -223,13 +223,15 @@ def without(text: str, spans: list[dict]) -> str:
 
 def _cut(batches, coverage: float):
     for batch in batches:
+        row = batch.column("row")
+        names = [f.name for f in row.type]
+        columns = dict(zip(names, row.flatten(), strict=True))
         keep, texts = [], []
-        for text, n, spans in zip(batch.column("text"), batch.column("n_words").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, n, spans in zip(columns["text"], batch.column("n_words").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             keep.append(sum(s["end"] - s["first"] for s in spans) <= coverage * n)
             texts.append(without(text.as_py(), spans) if spans and keep[-1] else text.as_py())
-        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
-        names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
-        yield pa.record_batch([columns[c] for c in names], names=names).filter(pa.array(keep))
+        columns["text"] = pa.array(texts, pa.string())
+        yield pa.record_batch([columns[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
 
 def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

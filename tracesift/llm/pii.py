@@ -85,10 +85,9 @@ def _between(spans: str, inner: str) -> str:
 
 
 def base_table(scratch: Scratch, docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Stored: a row for each document with a stable number, its base spans, and its text if it has any."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text") if "text" not in columns else F.lit(0).alias("_")).withColumn("base", base_spans())
-    some = F.size("base") > 0
-    kept = rows.select(*[c for c in columns if c != "text"], F.monotonically_increasing_id().alias("rid"), "base", F.when(some, F.col("text")).alias("text"))
+    """Stored: for each document its columns as one (`row`), a stable number, its base spans, and its text if it has any."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text")).withColumn("base", base_spans())
+    kept = rows.select("row", F.monotonically_increasing_id().alias("rid"), "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
     return scratch.write(kept, "base")
 
 
@@ -141,7 +140,7 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base = base_table(scratch, docs, ["doc_id"])
     rows = with_terms(scratch, base, disclosing(scratch, docs, base)).withColumn("added", _term_spans())
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return rows.select("row.doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -161,8 +160,9 @@ def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
       THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.end), 'label', element_at(a, -1).label)))
       ELSE concat(a, array({one})) END)""")
     struck = rows.withColumn("all", merged).withColumn("text", F.expr(_between("all", "element_at(all, k).label")))
-    plain = docs.withColumn("base", base_spans()).filter("size(base) = 0").select(*docs.columns)
-    return plain.unionByName(struck.select(*docs.columns))
+    struck = struck.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text").withColumn("base", base_spans())
+    return plain.filter("size(base) = 0").select("row.*").unionByName(struck)
 
 
 def op3_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

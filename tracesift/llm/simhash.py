@@ -140,7 +140,7 @@ def _edges(batches, distance: int):
 
 
 def grouped(scratch: Scratch, docs: DataFrame, columns: str, distance: int = DISTANCE, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """The given columns of every document (as DDL; `doc_id long` among them), fp and component_id."""
+    """The given columns of every document (as DDL; `doc_id long` among them), fp, component (its least fp) and component_id."""
     spark = scratch.spark
     arrow_batches(spark)
     names = [c.split()[0] for c in columns.split(", ")]
@@ -155,8 +155,9 @@ def grouped(scratch: Scratch, docs: DataFrame, columns: str, distance: int = DIS
     # the least doc_id of each component, then of every fingerprint
     joined = parts.join(fps, "fp")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = parts.join(least, "component").select("fp", "component_id")
-    of = scratch.write(fps.join(named.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), "classes")
+    named = parts.join(least, "component").select("fp", "component", "component_id")
+    alone = F.col("component").isNull()
+    of = scratch.write(fps.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(alone, F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "classes")
     return found.join(of, "fp")
 
 
@@ -170,12 +171,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shi
     """Of each component the document with the smallest doc_id (then text key), with all its columns."""
     scratch = Scratch(spark, "simhash")
     rows = grouped(scratch, docs.select("doc_id", "text", text_key().alias("key")), "doc_id long, key binary", distance, shingle)
-    # components whose doc_ids are all null have no name: there the fingerprint's text keys tell them apart
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key"))
-    named = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(first.alias("x"))
+    named = rows.groupBy("component").agg(first.alias("x"))
     kept = scratch.write(named.select(F.xxhash64("x.key", "x.doc_id").alias("_pick"), F.col("x.key").alias("_key")), "kept")
-    keyed = docs.withColumns({"_key": text_key(), "_pick": F.xxhash64(text_key(), "doc_id")})
-    return keyed.join(kept, ["_pick", "_key"], "left_semi").dropDuplicates(["_pick", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # all columns in one, so that none of theirs clashes with those made here
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key().alias("_key"), F.xxhash64(text_key(), "doc_id").alias("_pick"))
+    return keyed.join(kept, ["_pick", "_key"], "left_semi").dropDuplicates(["_pick", "_key"]).select("row.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,9 +30,11 @@ WINDOW, SHORTEST = 35, 9
 
 
 def ladder(window: int, shortest: int = SHORTEST) -> list[int]:
-    """Lengths from at most twice the shortest up to `window`, each at most twice the one before."""
+    """Two lengths at least, from about the shortest up to `window`, each at most twice the one before."""
+    if window < 2:
+        raise ValueError("a window has two words at least")
     out = [window]
-    while out[-1] > shortest:
+    while out[-1] > shortest or len(out) < 2:
         out.append((out[-1] + 1) // 2)
     return out[::-1]
 
