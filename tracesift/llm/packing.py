@@ -69,14 +69,16 @@ def _knapsack(price: np.ndarray, sizes: np.ndarray, copies: np.ndarray, room: in
 
 
 def _configuration(must: int, left: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
-    """One piece of length `must` and what is worth most beside it, of the longest that fit and the dearest."""
+    """One piece of length `must` and what is worth most beside it, among the longest that fit, the dearest, and some of all lengths."""
     spare = left.copy()
     spare[must] -= 1
     room = capacity - must
     fit = np.flatnonzero(spare[: room + 1])
     if len(fit) > PRICED:
-        dear = fit[np.argsort(-(worth[fit] / fit), kind="stable")[: PRICED // 2]]
-        fit = np.union1d(fit[-PRICED // 2 :], dear)
+        third = PRICED // 3
+        dear = fit[np.argsort(-(worth[fit] / fit), kind="stable")[:third]]
+        spread = fit[np.linspace(0, len(fit) - 1, third).astype(int)]
+        fit = np.unique(np.concatenate([fit[-third:], dear, spread]))
     fit = fit[::-1]
     config = _knapsack(worth, fit, spare[fit], room)
     config[must] = config.get(must, 0) + 1
