@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,20 +51,24 @@ def merkle(addresses: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    hit = np.flatnonzero(window_hashes(mix(ids.astype(np.uint64)), WINDOW) >> np.uint64(64 - BITS) == 0) + WINDOW if n >= WINDOW else np.empty(0, dtype=np.int64)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of windows whose rolling hash makes a cut, over many streams one after another.
+
+    A window that reaches back into the stream before ends within LEAST ids of its start, where no cut is made.
+    """
+    if len(ids) < WINDOW:
+        return np.empty(0, dtype=np.int64)
+    return np.flatnonzero(window_hashes(mix(ids.astype(np.uint64)), WINDOW) >> np.uint64(64 - BITS) == 0) + WINDOW
+
+
+def cuts(n: int, hits: list[int]) -> list[int]:
+    """Ends of the chunks of one id stream of n ids, given its marks."""
     out, at, k = [], 0, 0
-    hits = hit.tolist()
     while n - at > LEAST:
         while k < len(hits) and hits[k] < at + LEAST:
             k += 1
-        end = min(hits[k] if k < len(hits) else n, at + MOST, n)
-        out.append(end)
-        at = end
+        at = min(hits[k] if k < len(hits) else n, at + MOST, n)
+        out.append(at)
     if at < n:
         out.append(n)
     return out
@@ -132,9 +136,13 @@ def _stage(batches, path: str, end: int, folder: str):
     writer, seen = PackWriter(folder), set()
     for docs, streams in encoded(batches, path, end):
         rows = []
-        for doc, ids in zip(docs, streams, strict=True):
+        ends = np.cumsum([len(x) for x in streams])
+        hits = marks(np.concatenate(streams))
+        edges = np.searchsorted(hits, np.concatenate([[0], ends]), side="right")
+        for k, (doc, ids) in enumerate(zip(docs, streams, strict=True)):
+            own = (hits[edges[k] : edges[k + 1]] - (ends[k] - len(ids))).tolist()
             data, at, addresses, after, new = ids.astype(dtype).tobytes(), 0, [], [], []
-            for stop in cuts(ids):
+            for stop in cuts(len(ids), own):
                 chunk = data[at * dtype.itemsize : stop * dtype.itemsize]
                 address = hashlib.sha256(chunk).digest()
                 addresses.append(address)
@@ -216,6 +224,7 @@ def _recipes(batches):
         yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), batch.column("start").take(pa.array(row)), pa.array([x for found in addresses for x in found], pa.binary()), batch.column("after").flatten()], names=["doc_id", "start", "address", "after"])
 
 
+@cache
 def _powers() -> list[np.ndarray]:
     """For each k the columns of "2**k zero bytes follow" on a CRC-32 register (reflected polynomial)."""
     one = np.zeros(32, dtype=np.uint32)  # one zero bit follows
@@ -254,10 +263,11 @@ def _shift(batches):
 
 def read_store(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
     """A row for each document as the files hold it: doc_id, start, n_tokens, ids_crc32."""
+    arrow_batches(spark, 20_000)
     packs = spark.read.parquet(f"{folder}/index").repartition("pack")
     chunks = packs.select("pack").mapInArrow(partial(_chunks, folder=f"{folder}/packs", item=item), "address binary, n long, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "root", "addresses", "after")
-    used = recipes.mapInArrow(_recipes, "doc_id long, start long, address binary, after long").join(chunks, "address", "left")
+    used = recipes.mapInArrow(_recipes, "doc_id long, start long, address binary, after long").join(chunks.hint("merge"), "address", "left")  # its size is not known beforehand
     lost = F.raise_error(F.lit("a chunk of the store is missing or damaged")).cast("long")
     used = used.select("doc_id", "start", "after", F.when(F.col("crc").isNull(), lost).otherwise(F.col("crc")).alias("crc"), "n")
     parts = used.mapInArrow(_shift, "doc_id long, start long, n long, crc long")
@@ -277,7 +287,7 @@ def read_ids(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
 
     chunks = spark.read.parquet(f"{folder}/index").repartition("pack").select("pack").mapInArrow(load, "address binary, data binary")
     recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "root", "addresses", "after")
-    used = recipes.mapInArrow(_recipes, "doc_id long, start long, address binary, after long").join(chunks, "address", "left")
+    used = recipes.mapInArrow(_recipes, "doc_id long, start long, address binary, after long").join(chunks.hint("merge"), "address", "left")
     parts = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("k"), "data"))), lambda x: x["data"])
     return used.groupBy("doc_id", "start").agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
 
