@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(edges: DataFrame, both: DataFrame, larger: bool) -> DataFrame:
-    """`both` holds (u, v) with the neighbours to look at; those that are larger (or not) go to the least."""
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _star(scratch: Scratch, name: str, both: DataFrame, larger: bool) -> DataFrame:
+    """`both` holds (u, v) with the neighbours to look at; those that are larger (or not) go to the least.
+
+    The least are stored first, so that the join's sides are plain shuffles and a hub's edges can be split.
+    """
+    least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
     near = both.join(least, "u")
     if larger:
         near = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,8 +36,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "stars") -> DataF
         if (got["n"], got["x"]) == mark or not got["n"]:
             break
         mark, turn = (got["n"], got["x"]), turn + 1
-        large = _star(now, now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
+        large = _star(scratch, f"{name}-m{turn}", now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
         large = scratch.write(large, f"{name}-l{turn}")
-        now = scratch.write(_star(large, large, False), f"{name}-{turn}")
-        scratch.drop(f"{name}-l{turn}", f"{name}-{turn - 1}")
+        now = scratch.write(_star(scratch, f"{name}-s{turn}", large, False), f"{name}-{turn}")
+        scratch.drop(f"{name}-l{turn}", f"{name}-m{turn}", f"{name}-s{turn}", f"{name}-{turn - 1}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
