@@ -17,7 +17,9 @@ from array import array
 import numpy as np
 
 #: Entries of a worker's table; a full table is kept once more as the older one, then forgotten.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
+#: Letters of whole texts that a worker keeps with their ids, in the same two steps.
+KEPT_LETTERS = 6_000_000
 
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Letters past Latin Extended may be classed by another Unicode version in Python than in the library.
@@ -58,6 +60,9 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.between = b"\xff" * self.dtype.itemsize  # past the vocabulary, and no two ids hold these bytes
         self.limit = cache_entries
+        self.texts: dict[str, bytes] = {}
+        self.older_texts: dict[str, bytes] = {}
+        self.kept = 0
         self.words: dict[str, bytes | bool] = {}
         self.older_words: dict[str, bytes | bool] = {}
         self.parts: dict[str, bytes] = {}
@@ -117,27 +122,25 @@ class Encoder:
 
     def _learn_words(self, words: set[str]) -> None:
         """Words that follow a space. One that is empty or ends in white space may join what follows: False."""
-        known, older, bulk, letters, marked = self.words, self.older_words, [], {}, []
-        for w in words:
-            got = older.get(w)
-            if got is not None:
-                known[w] = got
-            elif not w or w[-1].isspace():
-                known[w] = False
-            elif not w.isascii() and max(w) > _LATIN:
-                known[w] = self._ids(" " + w)
-            elif w.isalpha():
-                letters[w] = None
-            elif w[-1] in self.marks and w[:-1].isalpha():
-                base = w[:-1]
+        known, bulk, marked = self.words, [], []
+        if self.older_words:
+            for w in words & self.older_words.keys():
+                known[w] = self.older_words[w]
+                words.discard(w)
+        letters = {w: None for w in words if w.isalpha() and (w.isascii() or max(w) <= _LATIN)}
+        for w in words - letters.keys():
+            base = w[:-1]
+            if w and w[-1] in self.marks and base.isalpha() and (w.isascii() or max(w) <= _LATIN):
                 marked.append((w, base))
-                if base not in known:
-                    got = older.get(base)
+                if base not in known and base not in letters:
+                    got = self.older_words.get(base)
                     if got is None:
                         letters[base] = None
                     else:
                         known[base] = got
-            elif w[0].isspace() or _MARK in w:
+            elif not w or w[-1].isspace():
+                known[w] = False
+            elif w[0].isspace() or _MARK in w or (not w.isascii() and max(w) > _LATIN):
                 known[w] = self._ids(" " + w)
             else:
                 bulk.append(w)
@@ -184,6 +187,18 @@ class Encoder:
             at = end
         return out
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """As encode_many, but a text seen shortly before is not encoded again: copies often stand together."""
+        if self.kept > KEPT_LETTERS:
+            self.texts, self.older_texts, self.kept = {}, self.texts, 0
+        for t in dict.fromkeys(texts):
+            if t not in self.texts and t in self.older_texts:
+                self.texts[t] = self.older_texts[t]
+        absent = [t for t in dict.fromkeys(texts) if t not in self.texts]
+        self.texts.update(zip(absent, self.encode_many(absent), strict=True))
+        self.kept += sum(map(len, absent))
+        return [self.texts[t] for t in texts]
+
     def _whole(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._plain(text)
@@ -211,5 +226,5 @@ def encoded(batches, path: str, end: int, at_once: int = 200):
         for a in range(0, batch.num_rows, at_once):
             part = batch.slice(a, at_once)
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = [np.concatenate([np.frombuffer(x, dtype=e.dtype).astype("<u4"), tail]) for x in e.encode_many(texts)]
+            ids = [np.concatenate([np.frombuffer(x, dtype=e.dtype).astype("<u4"), tail]) for x in e.encode_all(texts)]
             yield part.column("doc_id").to_pylist(), ids
