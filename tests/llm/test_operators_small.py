@@ -228,7 +228,8 @@ def test_a_damaged_pack_is_not_read_as_sound(spark):
     pack = next(Path(folder.removeprefix("file:")).glob("packs/*.pack")) if not folder.startswith("file://") else next(Path(folder.removeprefix("file://")).glob("packs/*.pack"))
     packs = sorted(pack.parent.glob("*.pack"))
     for p in packs:
-        p.write_bytes(p.read_bytes()[:-1] + b"\x00")
+        data = p.read_bytes()
+        p.write_bytes(data[:-3] + bytes([data[-3] ^ 0x55]) + data[-2:])  # a byte that surely changes
     with pytest.raises(Exception):  # noqa: B017, PT011
         tokenstore.read_store(spark, folder).collect()
 

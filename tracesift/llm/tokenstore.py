@@ -11,7 +11,7 @@ Reading. Packs are streamed block by block; each chunk's address is computed aga
 meet the chunks by that computed address, so a damaged chunk is missed and the read fails; a document's
 CRC comes from its chunks' CRCs, shifted by the bytes that follow them.
 
-Pack format: the line `TSPK1`, then blocks: u32 bytes stored, u32 bytes unpacked, u32 chunks, and zstd data
+Pack format: the line `TSPK1`, then blocks: u32 bytes stored, u32 bytes unpacked, u32 chunks, and LZ4 data
 of the chunks' u32 lengths in bytes and then their ids (2 or 4 bytes each); all little-endian. Files are named by task attempt, and only committed attempts are listed, so a
 lost executor or a second attempt leaves files that nothing refers to.
 
@@ -81,7 +81,7 @@ class PackWriter:
         from pyarrow import fs
 
         self.files, self.folder = fs.FileSystem.from_uri(folder)
-        self.codec, self.out, self.buffer, self.held = pa.Codec("zstd", 1), None, [], 0
+        self.codec, self.out, self.buffer, self.held = pa.Codec("lz4_raw"), None, [], 0
 
     def add(self, data: bytes) -> tuple[str, int, int]:
         if self.out is None:
@@ -119,7 +119,7 @@ def blocks(folder: str, name: str):
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(folder)
-    codec = pa.Codec("zstd")
+    codec = pa.Codec("lz4_raw")
     with files.open_input_stream(f"{path}/{name}") as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"not a pack: {name}")
