@@ -75,6 +75,14 @@ def test_copies_of_one_text_are_no_evidence(spark):
     assert {r.spans for r in pii.find(spark, docs).collect()} == {"email:17:26", ""}
 
 
+def test_terms_far_from_the_entity_and_at_the_ends_of_a_text_count(spark):
+    far = "plain words of no weight " * 20
+    rows = [(k, f"Zorblax: {far}row{k} jo@ex.org Quimby", "s") for k in range(4)] + [(50 + k, f"{far}other {k}", "s") for k in range(40)]
+    kept = {r.doc_id: r.text for r in pii.sanitise(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [kept[k] for k in range(4)] == [f": {far}row{k} [EMAIL] " for k in range(4)]
+    assert [kept[50 + k] for k in range(40)] == [f"{far}other {k}" for k in range(40)]
+
+
 def test_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pii.find(spark, empty).count() == 0

@@ -1,14 +1,15 @@
 """Personal data: patterns, and the terms whose company gives an entity away. DataFrame functions only.
 
 Emails, IP addresses, card and phone numbers are found by patterns. Their values are the protected entities.
-For a term t within `reach` characters of an entity e, counts over all documents give
+For a term t and an entity e that stand in one document, however far apart, counts over all documents give
 PMI(t, e) = log2(N n(t, e) / (n(t) n(e))), and the share it reveals of the entity's information
 IC(e) = log2(N / n(e)); at 1 the term occurs with the entity only. Terms seen with an entity in enough
 different texts are generalised to their kind from one share on and removed from a higher one on, wherever
 they stand in a document that holds the entity.
 
 Only documents with an entity are kept with their text; term counts cover every document, aggregated before
-they are shuffled. Pairs are an entity's occurrence and the terms near it, never all terms of a document.
+they are shuffled. Pairs are the distinct entities and distinct terms of each distinct text; entities of fewer
+texts than a pair needs make none.
 
 Patterns are written so that a failing start is not tried again inside the same run and no group recurses:
 long runs take linear time and no stack.
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table, text_key
 
-#: Characters either side in which terms count as near, and the letters a term has at least.
-REACH, LETTERS = 120, 3
-#: Different texts that must show a term near an entity, and the shares that generalise and remove it.
+#: Letters a term has at least.
+LETTERS = 3
+#: Different texts that must show a term with an entity, and the shares that generalise and remove it.
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.9
 
 KINDS = ("email", "ip", "card", "phone")
@@ -91,24 +92,25 @@ def base_table(scratch: Scratch, docs: DataFrame, columns: list[str]) -> DataFra
     return scratch.write(kept, "base")
 
 
-def disclosing(scratch: Scratch, docs: DataFrame, base: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing(scratch: Scratch, docs: DataFrame, base: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, share, action) of the terms that reveal an entity."""
     some = base.filter("size(base) > 0")
-    blank = _between("m", "repeat(' ', cast(element_at(m, k).e - element_at(m, k).s AS int))")
-    held = some.withColumn("m", F.expr(_MERGED)).withColumn("masked", F.expr(blank)).withColumn("key", text_key())
     entity = F.concat_ws(":", F.col("x.kind"), F.lower("x.value")).alias("entity")
-    around = F.expr(f"concat(substring(masked, cast(greatest(x.start - {reach}, 0) AS int) + 1, cast(least(x.start, {reach}) AS int)), ' ', substring(masked, cast(x.end AS int) + 1, {reach}))")
-    near = held.select("rid", "key", "masked", F.explode("base").alias("x")).select("rid", "key", entity, around.alias("near"))
-    # a term cut off at the edge of the reach is no term
-    inner = F.regexp_replace("near", r"\A[\p{L}\p{N}]++|[\p{L}\p{N}]++\z", "")
-    pairs = near.select("rid", "key", "entity", F.explode(F.array_distinct(F.split(F.lower(inner), _TERM))).alias("term")).filter(F.length("term") >= LETTERS)
-    joint = pairs.groupBy("entity", "term", "key").agg(F.countDistinct("rid").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    entities = some.select("rid", F.explode("base").alias("x")).select("rid", entity).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    held = scratch.write(some.select("rid", text_key().alias("key"), F.explode("base").alias("x")).select("rid", "key", entity).distinct(), "held")
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("key").alias("texts"))
+    # an entity of fewer texts has no term with enough of them; of equal texts one stands for all
+    enough = entities.filter(F.col("texts") >= support).select("entity")
+    copies = held.select("rid", "key").distinct().groupBy("key").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies")).select("rid", "copies")
+    used = scratch.write(held.select("rid", "entity").join(copies, "rid").join(enough, "entity").groupBy("rid", "copies").agg(F.collect_list("entity").alias("entities")), "used")
+    blank = _between("m", "repeat(' ', cast(element_at(m, k).e - element_at(m, k).s AS int))")
+    masked = some.join(used, "rid").withColumn("m", F.expr(_MERGED)).select("copies", "entities", F.expr(blank).alias("masked"))
+    pairs = masked.select("copies", "entities", F.explode(F.array_distinct(F.split(F.lower("masked"), _TERM))).alias("term")).filter(F.length("term") >= LETTERS).select("copies", "term", F.explode("entities").alias("entity"))
+    joint = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts")
     terms = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), _TERM))).alias("term")).filter(F.length("term") >= LETTERS).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = base.count()
     pmi = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / F.col("n_term") / F.col("n_entity"))
     ic = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    found = scratch.write(joint, "joint").join(entities, "entity").join(terms, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    found = scratch.write(joint, "joint").join(entities.drop("texts"), "entity").join(terms, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
     return scratch.write(found.filter(F.col("share") >= generalise).select("entity", "term", "share", action.alias("action")), "disclosing")
 
