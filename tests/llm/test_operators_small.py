@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.rows import SCHEMA, documents, frame
-from tracesift.llm import decontamination, packing, pii, sharding, simhash, substrings, tokenstore, toxicity
+from tracesift.llm import decontamination, packing, pii, sharding, simhash, similar, substrings, tokenstore, toxicity
 from tracesift.llm.tokens import Encoder, tokenizer_path
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,37 @@ def test_keep_one_keeps_one_of_each_component(spark):
     assert len({g for r in got for g in by_id[(r.doc_id, r.text)]}) == len(got)
 
 
+def test_the_pipeline_keeps_one_of_all_copies_from_a_similarity_of_four_fifths(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng, texts = random.Random(6), [None, "", "one", "One", "two words"]
+    for k in range(30):
+        base = [f"w{k}x{rng.randint(0, 300)}" for _ in range(rng.randint(60, 200))]
+        for changed in (0, 1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), changed):
+                copy[at] = f"new{rng.randint(0, 10**6)}"
+            texts.append(" ".join([*copy, *["boilerplate of all documents that says nothing much"] * (k % 2)]))
+    sets = []
+    for t in texts:
+        w = re.findall(SPACE, lower(t))
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    alike = [[1.0 if a == b else len(a & b) / len(a | b) for b in sets] for a in sets]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike[i][j] >= 0.8 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    assert sum(0.8 <= x < 0.95 for row in alike for x in row) > 50
+    rows = [(k, t, *documents()[0][2:]) for k, t in enumerate(texts)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert kept.columns == frame(spark).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(k for k, r in enumerate(root) if r == g) for g in set(root))
+    assert corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows).limit(0), "").count() == 0
+
+
 def test_substring_dedup(spark):
     rows = documents()
     words = [re.findall(SPACE, r[1] or "") for r in rows]

@@ -167,10 +167,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTAN
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """Of each component the document with the smallest doc_id (then text key), with all its columns."""
-    scratch = Scratch(spark, "simhash")
-    rows = grouped(scratch, docs.select("doc_id", "text", text_key().alias("key")), "doc_id long, key binary", distance, shingle)
+def first_of(scratch: Scratch, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each component in `rows` (doc_id, key, component) the document with the smallest doc_id (then text key), with all its columns."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key"))
     named = rows.groupBy("component").agg(first.alias("x"))
     kept = scratch.write(named.select(F.xxhash64("x.key", "x.doc_id").alias("_pick"), F.col("x.key").alias("_key")), "kept")
@@ -179,5 +177,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shi
     return keyed.join(kept, ["_pick", "_key"], "left_semi").dropDuplicates(["_pick", "_key"]).select("row.*")
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """Of each component the document with the smallest doc_id (then text key), with all its columns."""
+    scratch = Scratch(spark, "simhash")
+    return first_of(scratch, docs, grouped(scratch, docs.select("doc_id", "text", text_key().alias("key")), "doc_id long, key binary", distance, shingle))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
