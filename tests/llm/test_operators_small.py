@@ -118,6 +118,14 @@ def test_the_pipeline_keeps_one_of_all_copies_from_a_similarity_of_four_fifths(s
     assert corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows).limit(0), "").count() == 0
 
 
+def test_a_repeated_word_counts_at_scoring_as_in_the_fit():
+    weights = np.zeros(toxicity.DIMENSIONS, dtype=np.float32)
+    weights[toxicity.features(b"bad")[0]] = 0.25
+    model = toxicity.Model(weights, np.array([5.0]), 0.5)
+    assert model.linear(b"bad " * 3) == 0.75 and model.linear(b"bad " * 8) == model.linear(b"bad " * 1000) == 2.0
+    assert model.linear(b"") == 0.0
+
+
 def test_substring_dedup(spark):
     rows = documents()
     words = [re.findall(SPACE, r[1] or "") for r in rows]

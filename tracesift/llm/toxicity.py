@@ -32,6 +32,8 @@ from .common import arrow_batches, byte_class, mix, span_hashes, table, word_spa
 
 #: Bound of either class in the training sample, hashed dimensions, and byte lengths of word beginnings.
 MOST, DIMENSIONS, BEGINNINGS = 3000, 1 << 20, (4, 5, 6)
+#: Most times a feature counts in a document, in the fit and at scoring.
+REPEATS = 8
 #: Features entering the fit, documents that must hold one, errors by which its ratio must differ from 1, the least ratio,
 #: quadratic penalty in documents, steps.
 ENTERING, SUPPORT, SURE, RATIO, PENALTY, STEPS = 4096, 3, 2.5, 20.0, 0.1, 300
@@ -61,7 +63,9 @@ class Model:
     limit: float
 
     def linear(self, text: bytes) -> float:
-        return float(sum(self.weights[f].sum(dtype=np.float64) for f in features(text)))
+        found = np.concatenate(features(text))
+        ids, counts = np.unique(found[self.weights[found] != 0], return_counts=True)
+        return float((self.weights[ids].astype(np.float64) * np.minimum(counts, REPEATS)).sum())
 
     def chances(self, linear: np.ndarray) -> np.ndarray:
         """P(grade > k), a column for each threshold."""
@@ -181,7 +185,7 @@ def fit(got: pa.Table, all_toxic: int, all_other: int) -> Model:
     place = np.full(DIMENSIONS, -1)
     place[entering] = np.arange(len(entering))
     kept = place[columns] >= 0
-    rows, columns, values = rows[kept], place[columns[kept]], np.minimum(values[kept], 8)
+    rows, columns, values = rows[kept], place[columns[kept]], np.minimum(values[kept], REPEATS)
     evidence = np.bincount(rows, weights=values * np.log(a / b)[entering][columns], minlength=len(toxic))
     grades = np.where(toxic, 1 + (evidence > np.median(evidence[toxic])), 0)
     weight = np.where(toxic, max(1, all_toxic) / int(toxic.sum()), max(1, all_other) / int((~toxic).sum()))
