@@ -37,6 +37,15 @@ def test_small_functions(spark):
     assert one(spark, hashing.credential_id(F.col("v")), v="id") == base64.b32encode(hashlib.sha256(b"id").digest())[:16].decode()
 
 
+def test_the_class_with_the_longer_literal_prefix_wins_a_place(spark):
+    from tracesift.operators import exposure
+
+    good, short = f"sk-ant-api03-{BODY}{BODY}", f"sk-ant-{BODY}"
+    text = f"a {good} b {short} c sk-{BODY}"
+    found = exposure.graded(exposure.subsumed(exposure.settled(exposure.candidates(spark.createDataFrame([("s", 1, text)], "surface string, record long, text string"), CLASSES))))
+    assert [(r["class"], r.start, r.is_verdict_grade) for r in found.orderBy("start").collect()] == [("anthropic_api_key", text.index(good), True), ("anthropic_api_key", text.index(short), False), ("openai_api_key", text.rindex("sk-"), True)]
+
+
 def test_long_inputs_take_neither_stack_nor_long(spark):
     for text in ("a" * 100_000, "\\" * 100_000, "authorization: bearer " + "a/" * 2000, 'secret="' + "\\\"" * 50_000):
         row = spark.createDataFrame([(text,)], "t string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,13 +12,27 @@ from tracesift.catalog import SourceClass
 from tracesift.functions.eligibility import class_prefix, eligible, fingerprint, matched_value, rejected
 
 
+#: Fixed: boundaries a pattern may begin with, and what ends its literal beginning.
+_BOUNDARIES, _META = (r"(?:\b|(?<=\\[ntr]))", r"\b"), frozenset("\\.^$*+?{}[]()|")
+
+
+def literal_prefix(pattern: str) -> str:
+    """The letters a pattern begins with, after a boundary: the longer, the more specific the class."""
+    for boundary in _BOUNDARIES:
+        if pattern.startswith(boundary):
+            pattern = pattern[len(boundary) :]
+            break
+    return "".join(itertools.takewhile(lambda c: c not in _META, pattern))
+
+
 def candidates(surfaces: DataFrame, classes: tuple[SourceClass, ...]) -> DataFrame:
     """surface, record, class, rank, start (code points, from 0), value: every match of every class.
 
+    The rank orders classes by the length of their literal prefix, longest first, then as the catalog does.
     Offsets come from the pieces between matches; a grouped class's value starts where its group does.
     """
     out = None
-    for rank, c in enumerate(classes):
+    for rank, c in enumerate(sorted(classes, key=lambda c: -len(literal_prefix(c.pattern)))):
         whole, pieces = F.regexp_extract_all("text", F.lit(c.pattern), 0), F.split("text", c.pattern, -1)
         value = F.regexp_extract_all("text", F.lit(c.pattern), c.group)
         rows = surfaces.filter(F.col("text").rlike(c.pattern)).select("surface", "record", F.arrays_zip(pieces.alias("p"), whole.alias("m"), value.alias("v")).alias("z"))
@@ -33,7 +49,7 @@ def candidates(surfaces: DataFrame, classes: tuple[SourceClass, ...]) -> DataFra
 
 
 def settled(found: DataFrame) -> DataFrame:
-    """At one place the class first in the catalog wins; what a class without a floor rejects is dropped."""
+    """At one place the class with the longest literal prefix wins, then the first in the catalog; what a class without a floor rejects is dropped."""
     place = W.partitionBy("surface", "record", "start").orderBy("rank")
     return found.withColumn("n", F.row_number().over(place)).filter("n = 1 AND NOT dropped").drop("n", "dropped", "rank")
 
