@@ -40,6 +40,19 @@ def test_telemetry_to_nodes_joins_and_findings(spark, tmp_path):
     assert (g.calls, g.inspectable_bp, g.linkage) == (3, 10000, "explicit")
 
 
+def test_calls_join_by_ids_mined_from_content(spark, tmp_path):
+    def span(ref, at, **attributes):
+        return {"traceId": "t", "spanId": ref, "name": "n", "kind": 1, "startTimeUnixNano": str(at), "endTimeUnixNano": str(at + 1), "attributes": [{"key": f"gen_ai.{k}", "value": {"stringValue": v}} for k, v in {"operation.name": "execute_tool", **{x.replace("_", "."): y for x, y in attributes.items()}}.items()]}
+
+    call = lambda ref, at, token: span(ref, at, **{"tool_call_arguments": json.dumps({"tool_call_id": token})})
+    result = lambda ref, at, token: span(ref, at, **{"tool_call_result": json.dumps({"tool_call_id": token})})
+    spans = [call("a", 1, "one"), result("b", 3, "one"), call("c", 5, "two"), call("d", 7, "two"), result("e", 9, "two"), call("f", 11, 3), result("g", 13, 3), call("h", 15, ""), result("i", 17, "")]
+    (tmp_path / "x.json").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]}))
+    found = plans.scan(spark, tmp_path.as_uri())
+    ref = {r.idx: r.node_id for r in found["nodes"].collect()}
+    assert [(ref[r.call_idx], ref[r.result_idx], r.confidence) for r in found["joins"].collect()] == [("a", "b#result", "content_mined")]
+
+
 def test_native_traces_are_strict(spark, tmp_path):
     node = {"id": "n", "kind": "tool_call", "timestamp": "t", "actor": "a", "source_ref": "r1", "payload": {"type": "tool_call", "tool_name": "x", "args": {"a": 1}}, "degraded": False}
     sound = {"schema_version": "1", "nodes": [node, {**node, "source_ref": "r2", "kind": "tool_result", "payload": {"type": "tool_result", "content": "c"}}], "joins": [{"tool_call_source_ref": "r1", "tool_result_source_ref": "r2", "join_confidence": "explicit"}, {"tool_call_source_ref": "r1", "tool_result_source_ref": "gone", "join_confidence": "nested"}], "metadata": {}}

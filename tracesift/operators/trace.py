@@ -2,7 +2,8 @@
 
 Tiers: an explicit call id, then nesting, then an id mined from content. An id that several calls share is no
 evidence for any of them; a call that matches several results nobody claimed yet is ambiguous in that tier and
-tries the next; a claimed result is gone for later calls. `resolve` does this exactly, a trace at a time and in
+tries the next; a claimed result is gone for later calls. Where a call was joined and its mined id is also another
+result's, the join stays and the conflict is named. `resolve` does this exactly, a trace at a time and in
 call order; `resolve_sets` gives the same by joins alone, for traces where no result is wanted by two calls.
 """
 
@@ -22,6 +23,8 @@ def resolve_trace(nodes: list[dict]) -> tuple[list[tuple], list[tuple]]:
     claimed: set[int] = set()
     joins: list[tuple] = []
     ledger = [("shared_call_id", next(n["idx"] for n in calls if n["call_id"] == c)) for c, k in owners.items() if k > 1]
+    miners = Counter(n["mined_id"] for n in calls if n.get("mined_id"))
+    ledger += [("shared_mined_id", next(n["idx"] for n in calls if n.get("mined_id") == c)) for c, k in miners.items() if k > 1]
     by_id: dict[str, list[int]] = {}
     by_parent: dict[object, list[int]] = {}
     mined: dict[str, list[int]] = {}
@@ -46,9 +49,14 @@ def resolve_trace(nodes: list[dict]) -> tuple[list[tuple], list[tuple]]:
         single = call["call_id"] and owners[call["call_id"]] == 1
         if not (single and claim(call, by_id.get(call["call_id"], []), "explicit")):
             claim(call, by_parent.get(call["node_id"], []), "nested")
+    of = {c: r for c, r, _ in joins}
     for call in calls:
-        if call["idx"] not in done and call["call_id"] and owners[call["call_id"]] == 1:
-            claim(call, mined.get(call["call_id"], []), "content_mined")
+        if call.get("mined_id") and miners[call["mined_id"]] == 1:
+            wanted = mined.get(call["mined_id"], [])
+            if call["idx"] not in done:
+                claim(call, wanted, "content_mined")
+            elif any(r != of[call["idx"]] for r in wanted):
+                ledger.append(("conflicting_join_evidence", call["idx"]))
     return joins, ledger
 
 
@@ -63,7 +71,7 @@ def resolve(nodes: DataFrame) -> DataFrame:
         trace = pdf["trace_id"].iloc[0]
         return pd.DataFrame([(trace, c, r, x) for c, r, x in joins] + [(trace, c, None, x) for x, c in ledger], columns=["trace_id", "call_idx", "result_idx", "confidence"]).astype({"call_idx": "Int32", "result_idx": "Int32"})
 
-    columns = ["trace_id", "idx", "node_id", "kind", "call_id", "parent_id"]
+    columns = ["trace_id", "idx", "node_id", "kind", "call_id", "parent_id", "mined_id"]
     return nodes.select(*columns).groupBy("trace_id").applyInPandas(one, "trace_id long, call_idx int, result_idx int, confidence string")
 
 

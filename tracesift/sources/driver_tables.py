@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracesift.sources.otlp import mined_id
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trace_id, idx, node_id, kind, degraded, tool_name, call_id, parent_id, content (of results), args (of calls)."""
+    """trace_id, idx, node_id, kind, degraded, tool_name, call_id, parent_id, content (of results), args (of calls), mined_id."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
     kind = F.when(F.col("event_type").isin("view", "purchase"), "tool_result").otherwise("tool_call")
     tool = F.when(F.col("event_type") == "click", "send_email").when(F.col("event_type") == "signup", "post_to_webhook").when(F.col("event_type") == "error", "read_file")
@@ -26,12 +28,13 @@ def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = W.partitionBy("user_id").orderBy("idx")
     nested = (F.col("kind") == "tool_result") & (F.lag("kind").over(before) == "tool_call")
     value = F.concat(F.lit("item"), "k", F.lit("-user"), F.col("user_id").cast("string"))
-    return rows.select(
+    nodes = rows.select(
         F.col("user_id").alias("trace_id"), "idx", F.col("event_id").alias("node_id"), "kind", "degraded", "tool_name", F.col("k").alias("call_id"),
         F.when(nested, F.lag("event_id").over(before)).alias("parent_id"),
         F.when(F.col("kind") == "tool_result", F.concat(F.lit("found "), value, F.lit(" in stock"))).alias("content"),
         F.when((F.col("kind") == "tool_call") & ~F.col("degraded"), F.concat(F.lit("please ship "), value, F.lit(" now"))).alias("args"),
     )
+    return nodes.withColumn("mined_id", mined_id())
 
 
 #: The same in SQL, for the oracles: view `nodes`.

@@ -119,6 +119,14 @@ def attribute(name: str):
     return F.when(first["is_string"], first["value"])
 
 
+def mined_id():
+    """The string under tool_call_id of a call's arguments or a result's content, where that is a JSON object."""
+    text = F.when(F.col("kind") == "tool_call", F.col("args")).when((F.col("kind") == "tool_result") & F.col("content").startswith("{"), F.col("content"))
+    value = F.try_variant_get(F.try_parse_json(text), "$.tool_call_id", "variant")
+    found = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(found != "", found)
+
+
 def ledger(spans: DataFrame) -> DataFrame:
     """What was degraded and why: reason, subject, count."""
     plain = spans.filter("reason IS NULL").withColumn("reason", F.when(~F.exists("attributes", lambda a: a["key"].startswith("gen_ai.")), "not_genai"))
@@ -144,7 +152,8 @@ def nodes(spans: DataFrame) -> DataFrame:
     rows = used.select("trace_id", F.col("parent_id").alias("parent_id"), "tool_name", "call_id", F.explode(plan).alias("n")).select("trace_id", "parent_id", "tool_name", "call_id", "n.*")
     degraded = F.when(F.col("kind") == "tool_call", F.col("args").isNull() | F.try_parse_json("args").isNull()).otherwise(F.col("content").isNull())
     order = W.partitionBy("trace_id").orderBy(F.col("at").isNull(), "at", "node_id")
-    return rows.withColumn("degraded", degraded).withColumn("idx", F.row_number().over(order) - 1).select("trace_id", "idx", "node_id", "kind", "degraded", "tool_name", "call_id", "parent_id", "content", "args")
+    rows = rows.withColumns({"degraded": degraded, "mined_id": mined_id(), "idx": F.row_number().over(order) - 1})
+    return rows.select("trace_id", "idx", "node_id", "kind", "degraded", "tool_name", "call_id", "parent_id", "content", "args", "mined_id")
 
 
 def surface(spark: SparkSession, folder: str) -> DataFrame:
