@@ -2,7 +2,7 @@
 
 Two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 of their n shingles in any order
 that is the same for all sets. So only those are indexed, rows that share one meet by an equality shuffle, and
-every pair whose sizes allow the similarity is verified on the whole sets. The order is the shingles' hash, with
+every pair whose sizes allow the similarity is verified on the whole sets, unless other pairs link its ends already. The order is the shingles' hash, with
 those that are frequent in a sample of documents last, so that boilerplate makes no large buckets; the order
 changes the cost only, never what is found. Links make components, as for SimHash.
 
@@ -29,7 +29,7 @@ from .simhash import first_of
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, PARTS, OF = 5, 4, 5
 #: Documents sampled for the order, about, and those of them that must hold a shingle to put it last.
-SAMPLE, FREQUENT = 20_000, 20
+SAMPLE, FREQUENT = 5_000, 10
 #: Pairs a task holds before it passes them on.
 PAIRS = 1_000_000
 
@@ -112,6 +112,13 @@ def frequent(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     return np.sort(found.select("shingle").toArrow().column("shingle").to_numpy().view(np.uint64))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole sets have the similarity."""
+    both = pairs.join(sets.withColumnsRenamed({"fp": "u", "s": "a"}), "u").join(sets.withColumnsRenamed({"fp": "v", "s": "b"}), "v")
+    common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("sum"))
+    return common.filter(OF * F.col("n") >= PARTS * (F.col("sum") - F.col("n"))).select("u", "v")
+
+
 def grouped(scratch: Scratch, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, key (of the text) and component of every document."""
     spark = scratch.spark
@@ -126,9 +133,15 @@ def grouped(scratch: Scratch, docs: DataFrame, shingle: int = SHINGLE) -> DataFr
     arrow_batches(spark)
     met = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
     sets = scratch.write(rows.select("fp", "shingles").join(met, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("s")), "met")
-    both = pairs.join(sets.withColumnsRenamed({"fp": "u", "s": "a"}), "u").join(sets.withColumnsRenamed({"fp": "v", "s": "b"}), "v")
-    common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("sum"))
-    links = scratch.write(common.filter(OF * F.col("n") >= PARTS * (F.col("sum") - F.col("n"))).select("u", "v"), "links")
+    # each set against its least candidate first; then only pairs whose ends are not in one component yet
+    least = scratch.write(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "least")
+    links = scratch.write(_verified(least, sets), "links-1")
+    parts = scratch.write(components(scratch, links, "stars-1"), "parts-1")
+    rest = pairs.join(least, ["u", "v"], "left_anti")
+    for end in ("u", "v"):
+        rest = rest.join(parts.withColumnsRenamed({"node": end, "component": f"of_{end}"}), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    rest = scratch.write(rest.filter("of_u <> of_v").select("u", "v"), "rest")
+    links = links.unionByName(scratch.write(_verified(rest, sets), "links-2"))
     parts = components(scratch, links).withColumnRenamed("node", "fp")
     return rows.select("doc_id", "key", "fp").join(parts, "fp", "left").select("doc_id", "key", F.coalesce("component", "fp").alias("component"))
 
