@@ -6,12 +6,13 @@ whole shorter item), the words are hit, and the state tells which items hold the
 cut out of the text; a document of which they cover more than a limit is dropped.
 
 The items come to the driver in groups of at most `group_words` words, as many automata as that takes; each
-is sent to the executors by itself and documents pass through them one after another, so no broadcast grows
-with the benchmark.
+is sent to the executors by itself and documents pass through them one after another, so neither a broadcast nor the
+driver, which holds the automaton at work and the next, grows with the benchmark.
 
 Defined cases: a null or wordless text has no words and is clean; a null or wordless item has no window; an
 item without an item_id marks words but is not counted; equal items are all counted, repeated rows of one
-item once; further columns are kept; empty tables give an empty or a clean result.
+item once, so no order decides anything; a very long text is one stream of words; further columns are kept; empty tables
+give an empty or a clean result.
 """
 
 from __future__ import annotations
@@ -190,8 +191,8 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     now = own.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.col("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first: int, end: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     if not keep_text:
         now = now.withColumn("row", F.struct("row.doc_id"))
-    automata = iter(list(groups(benchmark, window, group_words)) or [Automaton([], window)])
-    automaton, k = next(automata), 0
+    automata = iter(groups(benchmark, window, group_words))  # built one at a time; the next is needed to know whether texts go on
+    automaton, k = next(automata, None) or Automaton([], window), 0
     while automaton is not None:
         following = next(automata, None)
         fields = [f for f in now.schema.fields if f.name != "text" or following is not None]
