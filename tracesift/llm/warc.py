@@ -12,7 +12,8 @@ record's header.
 
 Defined cases: a null html is an empty payload; a null id counts as greater than any; rows that share the
 smallest id are all responses; records whose ids are all null are responses; a null url is written as an
-empty target; further columns are ignored; an empty table gives an empty result.
+empty target; a payload of any length is cut into chunks and never held whole by Python; further columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,11 +39,14 @@ DATE = "2000-01-01T00:00:00Z"
 _CHUNKS = "record_id long, url string, record_type string, refers_to long, payload_bytes long, chunk_no int, last boolean, prefix_sha1 string, data binary"
 
 
-def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def decide(pages: DataFrame, least_bytes: int = 0, stored: str | None = None) -> DataFrame:
     """Adds payload, payload_bytes, sha1 (hex), record_type and refers_to; payloads meet by digest and size only."""
     rows = pages.select(F.col("page_id").alias("record_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary"))})
     groups = rows.select("record_id", "payload_bytes", "sha1").groupBy("sha1", "payload_bytes").agg(F.min("record_id").alias("first_id"))
+    if stored is not None:
+        groups.write.parquet(stored)  # so that both sides of the join are plain shuffles, and many equal payloads can be split
+        groups = pages.sparkSession.read.schema(groups.schema).parquet(stored)
     rows = rows.join(groups, ["sha1", "payload_bytes"])
     again = (F.col("payload_bytes") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     return rows.select("record_id", "url", "payload", "payload_bytes", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
@@ -110,7 +114,7 @@ def _write(batches, folder: str, archive: int):
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least_bytes: int = 0, chunk: int = CHUNK, archive: int = ARCHIVE) -> DataFrame:
     """Writes the archives under `folder` and returns their list (archive, records), itself a stored table there."""
     arrow_batches(spark, 64)
-    rows = chunk_rows(decide(pages, least_bytes), chunk)
+    rows = chunk_rows(decide(pages, least_bytes, f"{folder}/groups"), chunk)
     rows.mapInArrow(partial(_write, folder=f"{folder}/archives", archive=archive), "archive string, records long").write.parquet(f"{folder}/list")
     return spark.read.parquet(f"{folder}/list")
 
@@ -204,7 +208,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(listed: DataFrame, folder: str, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
     """The chunk table of all archives: a row for each payload chunk, in order within its record."""
-    return listed.select("archive").repartition("archive").mapInArrow(partial(_read, folder=f"{folder}/archives", chunk=chunk, with_data=with_data), _CHUNKS)
+    tasks = max(1, listed.count())  # stated, so that adaptive execution does not merge the few rows into one task
+    return listed.select("archive").repartitionByRange(tasks, "archive").mapInArrow(partial(_read, folder=f"{folder}/archives", chunk=chunk, with_data=with_data), _CHUNKS)
 
 
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
