@@ -9,7 +9,8 @@ counts allow, so a few thousand of them finish any number of pieces. Pieces get
 length, and the plan says where each rank goes.
 
 Defined cases: a null text is empty, so its document is the end id alone; repeated rows and equal doc_ids
-are packed one by one; further columns are ignored; an empty table gives an empty result.
+are packed one by one; pieces of equal length are ranked by doc_id, piece and checksum, and those equal in all are
+alike; a very long text is cut into pieces; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,12 +11,15 @@ Reading. Packs are streamed block by block; each chunk's address is computed aga
 meet the chunks by that computed address, so a damaged chunk is missed and the read fails; a document's
 CRC comes from its chunks' CRCs, shifted by the bytes that follow them.
 
-Pack format: the line `TSPK1`, then blocks: u32 bytes stored, u32 bytes unpacked, u32 chunks, and LZ4 data
-of the chunks' u32 lengths in bytes and then their ids (2 or 4 bytes each); all little-endian. Files are named by task attempt, and only committed attempts are listed, so a
-lost executor or a second attempt leaves files that nothing refers to.
+Pack format: the line `TSPK2`, a byte that says how many bytes an id has (2 or 4), then blocks: u32 bytes stored, u32 bytes unpacked, u32 chunks, and LZ4 data
+of the chunks' u32 lengths in bytes and then their ids; all little-endian. Files are named by task attempt, and only
+committed attempts are listed, so a lost executor or a second attempt leaves files that nothing refers to. Packs hold
+chunks in the order in which they were staged, as equal chunks of many documents are stored once; the recipes are what
+is written in ascending doc_id order.
 
 Defined cases: a null text is empty, so its stream is the end id alone; equal doc_ids are kept apart, in
-the order of their streams' addresses; further columns are ignored; an empty table gives an empty result.
+the order of their streams' addresses; a very long text is one stream of ids, cut into chunks like any other;
+further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_batches, gapless, mix, table, window_hashes
 from .tokens import encoded, encoder, tokenizer_path
 
-MAGIC = b"TSPK1\n"
+MAGIC = b"TSPK2\n"
 #: Ids in the rolling window, least and most ids of a chunk, and the hash bits that make a cut (mean about 2**bits).
 WINDOW, LEAST, MOST, BITS = 8, 64, 4096, 9
 #: Bytes of ids in a block, and of a pack before the next one begins.
@@ -77,10 +80,11 @@ def cuts(n: int, hits: list[int]) -> list[int]:
 class PackWriter:
     """Appends chunks to block-compressed packs under a folder; tells where each one is."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, item: int):
         from pyarrow import fs
 
         self.files, self.folder = fs.FileSystem.from_uri(folder)
+        self.head = MAGIC + bytes([item])
         self.codec, self.out, self.buffer, self.held = pa.Codec("lz4_raw"), None, [], 0
 
     def add(self, data: bytes) -> tuple[str, int, int]:
@@ -88,8 +92,8 @@ class PackWriter:
             self.files.create_dir(self.folder, recursive=True)
             self.name = f"{uuid.uuid4().hex}.pack"
             self.out = self.files.open_output_stream(f"{self.folder}/{self.name}")
-            self.out.write(MAGIC)
-            self.at = len(MAGIC)
+            self.out.write(self.head)
+            self.at = len(self.head)
         where = (self.name, self.at, self.held)
         self.buffer.append(data)
         self.held += len(data)
@@ -115,7 +119,7 @@ class PackWriter:
 
 
 def blocks(folder: str, name: str):
-    """A pack's blocks, one at a time: where each begins, its chunks' lengths in bytes, its ids' bytes."""
+    """A pack's blocks, one at a time: where each begins, bytes of an id, its chunks' lengths in bytes, its ids' bytes."""
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(folder)
@@ -123,17 +127,18 @@ def blocks(folder: str, name: str):
     with files.open_input_stream(f"{path}/{name}") as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"not a pack: {name}")
-        at = len(MAGIC)
+        item = f.read(1)[0]
+        at = len(MAGIC) + 1
         while head := f.read(12):
             stored, size, n = np.frombuffer(head, dtype="<u4").tolist()
             raw = codec.decompress(f.read(stored), size, asbytes=True)
-            yield at, np.frombuffer(raw, dtype="<u4", count=n), memoryview(raw)[4 * n :]
+            yield at, item, np.frombuffer(raw, dtype="<u4", count=n), memoryview(raw)[4 * n :]
             at += 12 + stored
 
 
 def _stage(batches, path: str, end: int, folder: str):
     dtype = encoder(path).dtype
-    writer, seen = PackWriter(folder), set()
+    writer, seen = PackWriter(folder, dtype.itemsize), set()
     for docs, streams in encoded(batches, path, end):
         rows = []
         ends = np.cumsum([len(x) for x in streams])
@@ -161,13 +166,13 @@ def _stage(batches, path: str, end: int, folder: str):
 
 def _compact(batches, source: str, target: str, item: int):
     """Rows (pack, block, place, n) of the chunks to keep, sorted: their bytes go on to new packs."""
-    writer, kept, now, at, reader, data = PackWriter(target), {}, None, -1, None, b""
+    writer, kept, now, at, reader, data = PackWriter(target, item), {}, None, -1, None, b""
     for batch in batches:
         for pack, block, place, n in zip(*(batch.column(c).to_pylist() for c in ("pack", "block", "place", "n")), strict=True):
             if pack != now:
                 now, at, reader = pack, -1, blocks(source, pack)
             while at < block:
-                at, _, data = next(reader)
+                at, _, _, data = next(reader)
             name, _, _ = writer.add(data[place : place + n * item])
             kept[name] = kept.get(name, 0) + 1
     writer.close()
@@ -197,11 +202,11 @@ def write_store(spark: SparkSession, docs: DataFrame, folder: str | None = None,
     return folder
 
 
-def _chunks(batches, folder: str, item: int):
+def _chunks(batches, folder: str):
     """Pack names to their chunks: address and CRC, both computed from the ids as read."""
     for batch in batches:
         for name in batch.column("pack").to_pylist():
-            for _, lengths, data in blocks(folder, name):
+            for _, item, lengths, data in blocks(folder, name):
                 at, address, n, crc = 0, [], [], []
                 for size in lengths.tolist():
                     chunk = data[at : at + size]
@@ -261,11 +266,16 @@ def _shift(batches):
         yield pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n"), pa.array(add.astype(np.int64))], names=["doc_id", "start", "n", "crc"])
 
 
-def read_store(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
+def _packs(spark: SparkSession, folder: str) -> DataFrame:
+    """The packs listed, one to a task."""
+    listed = spark.read.parquet(f"{folder}/index").groupBy("pack").agg(F.sum("chunks").alias("chunks"))
+    return listed.select("pack").repartitionByRange(max(1, listed.count()), "pack")
+
+
+def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each document as the files hold it: doc_id, start, n_tokens, ids_crc32."""
     arrow_batches(spark, 20_000)
-    packs = spark.read.parquet(f"{folder}/index").repartition("pack")
-    chunks = packs.select("pack").mapInArrow(partial(_chunks, folder=f"{folder}/packs", item=item), "address binary, n long, crc long")
+    chunks = _packs(spark, folder).mapInArrow(partial(_chunks, folder=f"{folder}/packs"), "address binary, n long, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "root", "addresses", "after")
     used = recipes.mapInArrow(_recipes, "doc_id long, start long, address binary, after long").join(chunks.hint("merge"), "address", "left")  # its size is not known beforehand
     lost = F.raise_error(F.lit("a chunk of the store is missing or damaged")).cast("long")
@@ -274,18 +284,18 @@ def read_store(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
     return parts.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
 
 
-def read_ids(spark: SparkSession, folder: str, item: int = 2) -> DataFrame:
-    """The store's documents with their ids: doc_id, start, ids (binary, `item` bytes each)."""
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The store's documents with their ids: doc_id, start, ids (binary, as wide as the packs say)."""
 
     def load(batches, packs=f"{folder}/packs"):
         for batch in batches:
             for name in batch.column("pack").to_pylist():
-                for _, lengths, data in blocks(packs, name):
+                for _, _, lengths, data in blocks(packs, name):
                     ends = np.cumsum(lengths).tolist()
                     parts = [bytes(data[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                     yield pa.record_batch([pa.array([hashlib.sha256(x).digest() for x in parts], pa.binary()), pa.array(parts, pa.binary())], names=["address", "data"])
 
-    chunks = spark.read.parquet(f"{folder}/index").repartition("pack").select("pack").mapInArrow(load, "address binary, data binary")
+    chunks = _packs(spark, folder).mapInArrow(load, "address binary, data binary")
     recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "root", "addresses", "after")
     used = recipes.mapInArrow(_recipes, "doc_id long, start long, address binary, after long").join(chunks.hint("merge"), "address", "left")
     parts = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("k"), "data"))), lambda x: x["data"])
