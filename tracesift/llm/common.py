@@ -6,6 +6,7 @@ Nothing here collects rows; the only things that reach the driver are counts.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,13 +21,15 @@ BATCH_ROWS = 1000
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where it is unset (tests on one machine) is a temporary folder made and set.
+    Only where it is unset and all of Spark is one process is a temporary folder made and set; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracesift-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -83,7 +86,8 @@ def gapless(scratch: Scratch, df: DataFrame, group: list[str], order: list[str],
     own = (F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - amount) if weight else F.row_number().over(inside) - 1
     ranked = df.withColumn("_own", own.cast("long"))
     same = [ranked[c].eqNullSafe(start[f"_{c}"]) for c in [*group, "pid"]]
-    joined = ranked.join(start, on=[x for x in same], how="inner")
+    # a row for each group and deal: too many for a broadcast, and `ranked` is dealt by these columns already
+    joined = ranked.join(start.hint("merge"), on=[x for x in same], how="inner")
     return joined.withColumn(out, F.col("_start") + F.col("_own")).drop("_own", "_start", *[f"_{c}" for c in [*group, "pid"]])
 
 
@@ -92,6 +96,8 @@ def gapless(scratch: Scratch, df: DataFrame, group: list[str], order: list[str],
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_TABLE_2 = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE_2 = np.uint64(0xA24BAED4963EE407)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -123,22 +129,23 @@ def word_spans(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
     return edges[0::2], edges[1::2]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; spans are handled some at a time to bound memory."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 18, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, or a second one of its own; spans are handled some at a time to bound memory."""
+    letters, base = (_TABLE_2, _BASE_2) if second else (_TABLE, _BASE)
     out = np.empty(len(starts), dtype=np.uint64)
     if not len(starts):
         return out
     lens = ends - starts
     power = np.ones(int(lens.max()), dtype=np.uint64)
     if len(power) > 1:
-        power[1:] = _BASE
+        power[1:] = base
         np.multiply.accumulate(power, out=power)
     for a in range(0, len(starts), piece):
         b = min(a + piece, len(starts))
         n = lens[a:b]
         first = np.cumsum(n) - n
         within = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
-        values = _TABLE[data[np.repeat(starts[a:b], n) + within]] * power[within]
+        values = letters[data[np.repeat(starts[a:b], n) + within]] * power[within]
         out[a:b] = np.add.reduceat(values, first) + n.astype(np.uint64) * _STEP
     return mix(out)
 

@@ -4,14 +4,16 @@ Window lengths double up to the one asked for (35 words: 9, 18, 35). On a level
 the final length is stood for by the least hash of the level's windows inside it, so equal windows are stood
 for by equal hashes and only about one word in ten is sent on. A hash that occurs at one place only ends
 every window it stands for; documents none of whose windows survive leave, and the others go on to the
-next length, until the last level counts whole windows or no candidate is left. Windows equal at every
-level are equal: hashes have 64 bits, and the last must agree along with those below it.
+next length, until the last level counts whole windows or no candidate is left. There windows are named by 128
+bits, two hashes of the words that share no table, and agree on the 64 bits of each level below: words are told
+apart by these and not compared again.
 
 Equal texts are one class: its representative is scanned and counts as often as the class has rows.
 
 Defined cases: a null or wordless text has no words, nothing removed and the digest of the empty string;
-shorter documents keep everything; repeated rows make each other's windows repeat; rows with equal doc_ids
-are kept apart by their texts; further columns are ignored; empty tables give an empty result.
+shorter documents keep everything; repeated rows make each other's windows repeat, and all of them lose their words,
+so no order decides anything; rows with equal doc_ids are kept apart by their texts; a very long text is one sequence
+of words; further columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -60,10 +62,17 @@ def _alive(words: np.ndarray, levels: list[int], found: list[list[int]], window:
     return alive
 
 
-def _sent(hashes: np.ndarray) -> np.ndarray:
-    """Each hash once, or twice if it stands at more than one place."""
-    values, n = np.unique(hashes, return_counts=True)
-    return np.concatenate([values, values[n > 1]])
+def _sent(hashes: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of hashes once, or twice if it stands at more than one place."""
+    values, n = np.unique(np.stack([hashes, seconds], axis=1), axis=0, return_counts=True)
+    values = np.concatenate([values, values[n > 1]])
+    return values[:, 0], values[:, 1]
+
+
+def _second(data: bytes, window: int) -> np.ndarray:
+    """The windows' second hashes."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    return window_hashes(span_hashes(raw, *word_spans(raw, NOT_SPACE), second=True), window)
 
 
 def _sent_by_place(stand: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -89,21 +98,25 @@ def _first(batches, length: int, window: int):
 
 
 def _next(batches, levels: list[int], window: int):
-    """Documents with the hashes found on the levels before: what the next level sends."""
+    """Documents with the hashes found on the levels before: what the next level sends; the last one also second hashes."""
+    nothing = np.empty(0, dtype=np.int64)
     for batch in batches:
-        sent = []
+        sent, seconds = [], []
         for text, found in zip(batch.column("text"), zip(*(batch.column(f"found{k}").to_pylist() for k in range(len(levels) - 1)), strict=True), strict=True):
-            _, _, words = _words(text.as_py() or b"")
+            data = text.as_py() or b""
+            _, _, words = _words(data)
             at = np.flatnonzero(_alive(words, levels, list(found), window))
             h = window_hashes(words, levels[-1])
+            seconds.append(nothing)
             if not len(at):
-                sent.append(np.empty(0, dtype=np.int64))
+                sent.append(nothing)
             elif levels[-1] == window:
-                sent.append(as_long(_sent(h[at])))
+                sent.append(nothing)
+                sent[-1], seconds[-1] = map(as_long, _sent(h[at], _second(data, window)[at]))
             else:
                 sent.append(as_long(_sent_by_place(_stand_ins(words, levels[-1], window), at, mix(h))))
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sent])]).astype(np.int32), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sent])))
-        yield pa.record_batch([batch.column("key"), lists], names=["key", "sent"])
+        lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32), pa.array(np.concatenate([nothing, *some]))) for some in (sent, seconds)]
+        yield pa.record_batch([batch.column("key"), *lists], names=["key", "sent", "seconds"])
 
 
 def covered(words: np.ndarray, levels: list[int], found: list[list[int]], window: int) -> np.ndarray:
@@ -141,9 +154,11 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, texts:
     classes = scratch.write(base.filter("size(sent) > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("sent").alias("sent")), "classes")
     live, sent = None, classes.select("key", "copies", "sent")
     for k in range(len(levels)):
-        each = sent.select("key", "copies", F.explode("sent").alias("h"))
-        often = each.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1").select("h")
-        found = each.select("key", "h").join(often, "h").groupBy("key").agg(F.collect_set("h").alias(f"found{k}"))
+        last = k + 1 == len(levels)
+        by = ["h", "second"] if last else ["h"]
+        each = sent.select("key", "copies", F.explode(F.arrays_zip(F.col("sent").alias("h"), F.col("seconds").alias("second")) if last else F.arrays_zip(F.col("sent").alias("h"))).alias("x")).select("key", "copies", "x.*")
+        often = each.groupBy(*by).agg(F.sum("copies").alias("n")).filter("n > 1").select(*by)
+        found = each.select("key", *by).join(often, by).groupBy("key").agg(F.collect_set("h").alias(f"found{k}"))
         found = scratch.write(found, f"found{k}")
         if live is None:
             # the representatives' texts: by doc_id too, so that a class of many rows is not gathered
@@ -155,7 +170,7 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, texts:
         if k:
             scratch.drop(f"live{k - 1}")
         if k + 1 < len(levels):
-            sent = scratch.write(live.drop("copies").mapInArrow(partial(_next, levels=levels[: k + 2], window=window), "key binary, sent array<long>"), f"sent{k + 1}").join(live.select("key", "copies"), "key")
+            sent = scratch.write(live.drop("copies").mapInArrow(partial(_next, levels=levels[: k + 2], window=window), "key binary, sent array<long>, seconds array<long>"), f"sent{k + 1}").join(live.select("key", "copies"), "key")
     out = live.drop("copies").mapInArrow(partial(_last, levels=levels, window=window, texts=texts), "key binary, n_removed long, kept_sha256 string, kept string")
     out = scratch.write(out, "out")
     rows = base.select("doc_id", "key", "n_words", "all_sha256").join(out, "key", "left")
