@@ -6,7 +6,9 @@ the sum of these. Only features that labelled toxic documents have clearly more
 the thousands of ordinary words of a long text weigh nothing.
 
 The labels say toxic or not. Toxic documents are graded 1 or 2 by how much evidence (log ratios of the entering
-features, summed) they hold, below or above the median; the fit takes any integer grades.
+features, summed) they hold, below or above the median; the fit takes any integer grades. So with labels of two values
+the second grade and the expected severity order documents by amount of evidence and are no judgement of people's; the
+decision rests on the first threshold, which the labels fix. Labels with more values would make the grades theirs.
 
 The model is fitted on the driver from at most `most` toxic and `most` other labelled documents, those with
 the smallest hashed doc_id, by their hashed features; clean ones weigh as many as they stand for. Every fifth
@@ -14,8 +16,9 @@ is held out to choose the decision threshold. Scoring reads every text whole and
 
 Defined cases: a null or wordless text has severity of a text without features and is clean; labels that are
 null or of unknown documents are ignored, a document labelled twice counts as toxic if either says so;
-without labelled toxic documents everything has grade 0; repeated rows get equal scores; further columns are
-kept where rows are filtered; empty tables give an empty result.
+without labelled toxic documents everything has grade 0; of documents that share a labelled doc_id the fit takes the
+one with the smallest text key; repeated rows get equal scores; a very long text counts each feature REPEATS times at
+most; further columns are kept where rows are filtered; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, byte_class, mix, span_hashes, table, word_spans
+from .common import arrow_batches, byte_class, mix, span_hashes, table, text_key, word_spans
 
 #: Bound of either class in the training sample, hashed dimensions, and byte lengths of word beginnings.
 MOST, DIMENSIONS, BEGINNINGS = 3000, 1 << 20, (4, 5, 6)
@@ -151,7 +154,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = M
     parts = [known.filter(F.col("toxic") > 0), known.filter(F.col("toxic") <= 0)]
     some = [p.select("doc_id", (F.col("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for p in parts]
     sample = F.broadcast(some[0].unionByName(some[1]))  # 2 * most rows at most
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(sample, "doc_id").select("toxic", "text")
+    met = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_key().alias("key")).join(sample, "doc_id")
+    # one document a label: neither the sample nor a worker grows with rows that share a doc_id
+    found = met.groupBy("doc_id").agg(F.min(F.struct("key", "toxic", "text")).alias("x")).select("x.toxic", "x.text")
     got = found.mapInArrow(_count, "toxic boolean, words long, features array<int>, counts array<int>").toArrow()
     return fit(got, total.get(True, 0), total.get(False, 0))
 
