@@ -11,30 +11,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesift.catalog import SINKS, SourceClass
+from tracesift.functions.arguments import leaves
 from tracesift.functions.eligibility import canon, distinctive_tokens
 
 
 def reachable(nodes: DataFrame, joins: DataFrame) -> DataFrame:
-    """Adds `lo`: the node reaches exactly the nodes of its trace from there on."""
-    lists = joins.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct(F.col("call_idx").alias("c"), F.col("result_idx").alias("r"))), asc=False).alias("joins"))
+    """Adds `lo`: the node reaches exactly the nodes of its trace from there on.
+
+    A join whose result comes after its call lowers no start, so only joins that run backwards (clocks that differ)
+    are gathered for a trace.
+    """
+    lists = joins.filter("result_idx <= call_idx").groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct(F.col("call_idx").alias("c"), F.col("result_idx").alias("r"))), asc=False).alias("joins"))
     start = F.expr("aggregate(coalesce(joins, array()), idx + 1, (lo, j) -> CASE WHEN j.c >= lo OR j.c = idx THEN least(lo, j.r) ELSE lo END)")
     return nodes.join(lists, "trace_id", "left").withColumn("lo", start).drop("joins")
 
 
-def provenance(nodes: DataFrame, joins: DataFrame) -> DataFrame:
+def context(nodes: DataFrame, joins: DataFrame) -> DataFrame:
+    """What each node taints: the first and the last node of its trace that it reaches, none if it is the last one."""
+    ends = nodes.groupBy("trace_id").agg(F.max("idx").alias("last_idx"))
+    return reachable(nodes, joins).join(ends, "trace_id").filter("lo <= last_idx").select("trace_id", "idx", "lo", "last_idx")
+
+
+def sink_calls(nodes: DataFrame, sinks: dict[str, tuple[str, ...]] = SINKS) -> DataFrame:
+    """Calls to outbound tools with the strings they send."""
+    rows = nodes.filter((F.col("kind") == "tool_call") & ~F.col("degraded") & F.col("tool_name").isin(*sinks))
+    return rows.select("trace_id", F.col("idx").alias("sink_idx"), leaves(F.col("args")).alias("sent"), F.col("tool_name").alias("sink"))
+
+
+def origins(nodes: DataFrame, joins: DataFrame) -> DataFrame:
+    """The tool whose call gave each result, by the first join."""
+    first = joins.groupBy("trace_id", "result_idx").agg(F.min("call_idx").alias("idx"))
+    return first.join(nodes.select("trace_id", "idx", "tool_name"), ["trace_id", "idx"]).select("trace_id", "result_idx", F.col("tool_name").alias("origin"))
+
+
+def provenance(nodes: DataFrame, joins: DataFrame, sinks: dict[str, tuple[str, ...]] = SINKS) -> DataFrame:
     """One flow for each (result, sink): the first token, in sorted order, of the result that the sink's arguments hold."""
     results = reachable(nodes.filter("kind = 'tool_result'"), joins).select("trace_id", F.col("idx").alias("result_idx"), "lo", F.explode(distinctive_tokens(F.col("content"))).alias("token"))
-    sinks = nodes.filter("kind = 'tool_call' AND NOT degraded AND tool_name IN ('send_email', 'post_to_webhook')").select("trace_id", F.col("idx").alias("sink_idx"), "args", F.col("tool_name").alias("sink"))
-    flows = results.join(sinks, "trace_id").filter("sink_idx >= lo AND contains(args, token)").groupBy("trace_id", "result_idx", "sink_idx", "sink").agg(F.min("token").alias("token"))
-    origin = joins.groupBy("trace_id", "result_idx").agg(F.min("call_idx").alias("idx")).join(nodes.select("trace_id", "idx", "tool_name"), ["trace_id", "idx"]).select("trace_id", "result_idx", F.col("tool_name").alias("origin"))
-    return flows.join(origin, ["trace_id", "result_idx"], "left")
+    flows = results.join(sink_calls(nodes, sinks), "trace_id").filter("sink_idx >= lo AND exists(sent, x -> contains(x, token))")
+    flows = flows.groupBy("trace_id", "result_idx", "sink_idx", "sink").agg(F.min("token").alias("token"))
+    return flows.join(origins(nodes, joins), ["trace_id", "result_idx"], "left")
+
+
+def untrusted(flows: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """Flows out of tools that bring in what others wrote."""
+    return flows.filter(F.col("origin").isin(*tools)) if tools else flows.limit(0)
+
+
+def labels(nodes: DataFrame, classes: tuple[SourceClass, ...]) -> DataFrame:
+    """trace_id, source_idx, class, value of every class in every text of the trace, each once."""
+    texts = nodes.filter("kind <> 'tool_call' AND content IS NOT NULL")
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(c.pattern), 0), lambda v, n=c.name: F.struct(F.lit(n).alias("class"), v.alias("value"))) for c in classes]))
+    return texts.select("trace_id", F.col("idx").alias("source_idx"), F.explode(F.array_distinct(found)).alias("x")).select("trace_id", "source_idx", "x.*")
+
+
+def matched(sources: DataFrame, nodes: DataFrame, joins: DataFrame, sinks: dict[str, tuple[str, ...]] = SINKS) -> DataFrame:
+    """Sources (trace_id, source_idx, ..., value) whose value, in canonical form, a string of a sink they reach holds."""
+    starts = reachable(nodes.select("trace_id", "idx"), joins).withColumnRenamed("idx", "source_idx")
+    rows = sources.join(starts, ["trace_id", "source_idx"]).join(sink_calls(nodes, sinks), "trace_id")
+    rows = rows.withColumn("value_c", canon(F.col("value"))).filter((F.col("sink_idx") >= F.col("lo")) & F.exists("sent", lambda x: F.contains(canon(x), F.col("value_c"))))
+    return rows.drop("lo", "sent", "value_c")
 
 
 def verbatim(nodes: DataFrame, joins: DataFrame, pattern: str) -> DataFrame:
-    """Labelled values of results found, in canonical form, in the arguments of sinks that the result reaches."""
-    labels = reachable(nodes.filter("kind = 'tool_result'"), joins).select("trace_id", F.col("idx").alias("source_idx"), "lo", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 0))).alias("value"))
-    sinks = nodes.filter("kind = 'tool_call' AND NOT degraded AND tool_name IN ('send_email', 'post_to_webhook')").select("trace_id", F.col("idx").alias("sink_idx"), "args", F.col("tool_name").alias("sink"))
-    return labels.join(sinks, "trace_id").filter((F.col("sink_idx") >= F.col("lo")) & F.contains(canon(F.col("args")), canon(F.col("value")))).select("trace_id", "source_idx", "sink_idx", "sink", "value")
+    """Values of results that look like the pattern, found in the arguments of sinks that the result reaches."""
+    results = nodes.filter("kind = 'tool_result'")
+    values = results.select("trace_id", F.col("idx").alias("source_idx"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 0))).alias("value"))
+    return matched(values, nodes, joins).select("trace_id", "source_idx", "sink_idx", "sink", "value")
 
 
 def graded(matches: DataFrame, nodes: DataFrame, joins: DataFrame) -> DataFrame:

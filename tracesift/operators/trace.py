@@ -60,33 +60,85 @@ def resolve_trace(nodes: list[dict]) -> tuple[list[tuple], list[tuple]]:
     return joins, ledger
 
 
-def resolve(nodes: DataFrame) -> DataFrame:
-    """trace_id, call_idx, result_idx, confidence; and rows with a null result for the ledger's reasons."""
+_COLUMNS = ["trace_id", "idx", "node_id", "kind", "call_id", "parent_id", "mined_id"]
+_JOINED = "trace_id long, call_idx int, result_idx int, confidence string"
+
+
+def contested(nodes: DataFrame) -> DataFrame:
+    """trace_id of traces where the order of calls decides: a result that two calls may claim, or ids mined from content."""
+    calls = nodes.filter("kind = 'tool_call'")
+    results = nodes.filter("kind = 'tool_result'")
+    owner = calls.filter("call_id <> ''").groupBy("trace_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("owner")).filter("n = 1")
+    parent = calls.select("trace_id", F.col("node_id").alias("parent_id")).distinct()
+    wanted = results.join(owner, ["trace_id", "call_id"]).join(parent, ["trace_id", "parent_id"]).filter("owner <> parent_id").select("trace_id")
+    return wanted.unionByName(nodes.filter("mined_id IS NOT NULL").select("trace_id")).distinct()
+
+
+def resolve_exactly(nodes: DataFrame) -> DataFrame:
+    """In call order, a trace at a time."""
 
     def one(pdf):
         import pandas as pd
 
-        rows = pdf.sort_values("idx").astype(object).where(pdf.sort_values("idx").notna(), None).to_dict("records")
-        joins, ledger = resolve_trace(rows)
+        ordered = pdf.sort_values("idx").astype(object)
+        joins, ledger = resolve_trace(ordered.where(ordered.notna(), None).to_dict("records"))
         trace = pdf["trace_id"].iloc[0]
         return pd.DataFrame([(trace, c, r, x) for c, r, x in joins] + [(trace, c, None, x) for x, c in ledger], columns=["trace_id", "call_idx", "result_idx", "confidence"]).astype({"call_idx": "Int32", "result_idx": "Int32"})
 
-    columns = ["trace_id", "idx", "node_id", "kind", "call_id", "parent_id", "mined_id"]
-    return nodes.select(*columns).groupBy("trace_id").applyInPandas(one, "trace_id long, call_idx int, result_idx int, confidence string")
+    return nodes.select(*_COLUMNS).groupBy("trace_id").applyInPandas(one, _JOINED)
 
 
-def resolve_sets(nodes: DataFrame) -> DataFrame:
-    """Explicit and nested joins by sets: ids with one call and one result, then only children nobody claimed."""
+def resolve(nodes: DataFrame) -> DataFrame:
+    """trace_id, call_idx, result_idx, confidence; and rows with a null result for the ledger's reasons.
+
+    Traces that no order decides are joined as sets; Python sees only the others.
+    """
+    # columns of its own, as the nodes are joined to what is derived from them
+    open_ = contested(nodes).select((F.col("trace_id") + 0).alias("trace_id"))
+    plain = nodes.join(open_, "trace_id", "left_anti")
+    return resolve_sets(plain, ledger=True).unionByName(resolve_exactly(nodes.join(open_, "trace_id", "left_semi")))
+
+
+def resolve_sets(nodes: DataFrame, ledger: bool = False) -> DataFrame:
+    """Explicit and nested joins by sets: ids with one call and one result, then only children nobody claimed.
+
+    With `ledger` also rows without a result that name ids shared by calls and calls with several results.
+    """
     calls = nodes.filter("kind = 'tool_call'").select("trace_id", F.col("idx").alias("call_idx"), "node_id", "call_id")
     results = nodes.filter("kind = 'tool_result'").select("trace_id", F.col("idx").alias("result_idx"), "call_id", "parent_id")
-    one_call = calls.groupBy("trace_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.first("call_idx").alias("call_idx")).filter("n = 1").drop("n")
-    one_result = results.groupBy("trace_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.first("result_idx").alias("result_idx")).filter("n = 1").drop("n")
-    explicit = one_call.join(one_result, ["trace_id", "call_id"]).select("trace_id", "call_idx", "result_idx", F.lit("explicit").alias("confidence"))
+    n = F.count(F.lit(1)).alias("n")
+    named = calls.filter("call_id <> ''").groupBy("trace_id", "call_id").agg(n, F.min("call_idx").alias("call_idx"))
+    given = results.filter("call_id <> ''").groupBy("trace_id", "call_id").agg(F.count(F.lit(1)).alias("k"), F.min("result_idx").alias("result_idx"))
+    met = named.filter("n = 1").join(given, ["trace_id", "call_id"])
+    explicit = met.filter("k = 1").select("trace_id", "call_idx", "result_idx", F.lit("explicit").alias("confidence"))
     free = results.join(explicit.select("trace_id", "result_idx"), ["trace_id", "result_idx"], "left_anti")
     rest = calls.join(explicit.select("trace_id", "call_idx"), ["trace_id", "call_idx"], "left_anti")
-    nested = rest.join(free.select("trace_id", "result_idx", F.col("parent_id").alias("node_id")), ["trace_id", "node_id"])
-    nested = nested.groupBy("trace_id", "call_idx").agg(F.count(F.lit(1)).alias("n"), F.first("result_idx").alias("result_idx")).filter("n = 1")
-    return explicit.unionByName(nested.select("trace_id", "call_idx", "result_idx", F.lit("nested").alias("confidence")))
+    inside = rest.join(free.select("trace_id", "result_idx", F.col("parent_id").alias("node_id")), ["trace_id", "node_id"])
+    inside = inside.groupBy("trace_id", "call_idx").agg(n, F.min("result_idx").alias("result_idx"))
+    joins = explicit.unionByName(inside.filter("n = 1").select("trace_id", "call_idx", "result_idx", F.lit("nested").alias("confidence")))
+    if not ledger:
+        return joins
+    row = lambda found, reason: found.select("trace_id", "call_idx", F.lit(None).cast("int").alias("result_idx"), F.lit(reason).alias("confidence"))
+    return joins.unionByName(row(named.filter("n > 1"), "shared_call_id")).unionByName(row(met.filter("k > 1"), "ambiguous_join")).unionByName(row(inside.filter("n > 1"), "ambiguous_join"))
+
+
+#: The exact joins in SQL, call by call: view `exact` with the ledger's rows, and `joins` without them.
+EXACT_SQL = """
+calls AS (SELECT trace_id, idx AS call_idx, node_id, call_id, row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS k, count(*) OVER (PARTITION BY trace_id, call_id) AS owners FROM nodes WHERE kind = 'tool_call'),
+results AS (SELECT trace_id, idx AS result_idx, call_id, parent_id FROM nodes WHERE kind = 'tool_result'),
+by_id AS (SELECT trace_id, call_id, list(result_idx) AS ids FROM results WHERE call_id <> '' GROUP BY ALL),
+by_parent AS (SELECT trace_id, parent_id AS node_id, list(result_idx) AS children FROM results WHERE parent_id IS NOT NULL GROUP BY ALL),
+wanted AS (SELECT c.*, CASE WHEN owners = 1 AND c.call_id <> '' THEN coalesce(ids, []) ELSE [] END AS ids, coalesce(children, []) AS children
+  FROM calls c LEFT JOIN by_id USING (trace_id, call_id) LEFT JOIN by_parent USING (trace_id, node_id)),
+claiming AS (SELECT trace_id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS claimed, CAST(NULL AS INTEGER) AS call_idx, CAST(NULL AS INTEGER) AS result_idx, CAST(NULL AS VARCHAR) AS confidence, 0 AS ambiguous FROM calls GROUP BY trace_id
+  UNION ALL SELECT trace_id, k, CASE WHEN result IS NULL THEN claimed ELSE list_append(claimed, result) END, call_idx, result, confidence, ambiguous FROM (
+    SELECT trace_id, k, claimed, call_idx, CASE WHEN len(e) = 1 THEN e[1] WHEN len(c) = 1 THEN c[1] END AS result,
+      CASE WHEN len(e) = 1 THEN 'explicit' WHEN len(c) = 1 THEN 'nested' END AS confidence, CASE WHEN len(e) > 1 THEN 1 ELSE 0 END + CASE WHEN len(e) <> 1 AND len(c) > 1 THEN 1 ELSE 0 END AS ambiguous FROM (
+      SELECT w.trace_id, w.k, a.claimed, w.call_idx, list_filter(w.ids, lambda x: NOT list_contains(a.claimed, x)) AS e, list_filter(w.children, lambda x: NOT list_contains(a.claimed, x)) AS c
+      FROM claiming a JOIN wanted w ON w.trace_id = a.trace_id AND w.k = a.k + 1))),
+joins AS MATERIALIZED (SELECT trace_id, call_idx, result_idx, confidence FROM claiming WHERE result_idx IS NOT NULL),
+exact AS (SELECT * FROM joins UNION ALL SELECT trace_id, call_idx, NULL, 'ambiguous_join' FROM (SELECT trace_id, call_idx, unnest(range(0, ambiguous)) FROM claiming)
+  UNION ALL SELECT trace_id, min(call_idx), NULL, 'shared_call_id' FROM calls WHERE owners > 1 AND call_id <> '' GROUP BY trace_id, call_id)"""
 
 
 JOINS_SQL = """

@@ -59,16 +59,17 @@ def exposure_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = event_nodes(spark, sf_dir)
-    return nodes, trace.resolve_sets(nodes)
+    return nodes, trace.resolve(nodes).filter("result_idx IS NOT NULL")
 
 
 def join_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, joins = _joined(spark, sf_dir)
+    joins = trace.resolve_sets(event_nodes(spark, sf_dir))
     return joins.select("trace_id", F.col("call_idx").cast("long").alias("call_idx"), F.col("result_idx").cast("long").alias("result_idx"), "confidence")
 
 
 def join_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.resolve(event_nodes(spark, sf_dir))
+    joins = trace.resolve(event_nodes(spark, sf_dir))
+    return joins.select("trace_id", F.col("call_idx").cast("long").alias("call_idx"), F.col("result_idx").cast("long").alias("result_idx"), "confidence")
 
 
 def gauge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +230,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_JOINED = f"{NODES_SQL},{trace.JOINS_SQL}"
+_SETS = f"{NODES_SQL},{trace.JOINS_SQL}"
+_JOINED = f"{NODES_SQL},{trace.EXACT_SQL}"
 _REACH = f"""{_JOINED},
 reach(trace_id, idx, lo) AS (SELECT trace_id, idx, idx + 1 FROM nodes UNION SELECT r.trace_id, r.idx, least(r.lo, j.result_idx) FROM reach r JOIN joins j ON j.trace_id = r.trace_id AND (j.call_idx >= r.lo OR j.call_idx = r.idx) AND j.result_idx < r.lo),
 reached AS (SELECT trace_id, idx, min(lo) AS lo FROM reach GROUP BY ALL),
@@ -281,8 +283,9 @@ ORACLE_SQL: dict[str, str] = {
     "exposure_hits": f"WITH {_EXPOSED} SELECT * FROM findings",
     "exposure_by_fingerprint": f"""WITH {_EXPOSED}, g AS (SELECT fingerprint, count(*) AS hits, count(DISTINCT (surface, record)) AS records, count(DISTINCT surface) AS surfaces, min((surface, record, start)) AS f FROM findings WHERE fingerprint IS NOT NULL GROUP BY fingerprint)
       SELECT fingerprint, hits, records, surfaces, dense_rank() OVER (ORDER BY f) AS ordinal FROM g""",
-    "join_resolution": f"WITH {_JOINED} SELECT trace_id, CAST(call_idx AS BIGINT) AS call_idx, CAST(result_idx AS BIGINT) AS result_idx, confidence FROM joins",
-    "gauge_report": f"""WITH {_JOINED}, c AS (SELECT n.*, j.confidence FROM nodes n LEFT JOIN joins j ON j.trace_id = n.trace_id AND j.call_idx = n.idx WHERE n.kind = 'tool_call'),
+    "join_resolution_exact": f"WITH RECURSIVE {_JOINED} SELECT trace_id, CAST(call_idx AS BIGINT) AS call_idx, CAST(result_idx AS BIGINT) AS result_idx, confidence FROM exact",
+    "join_resolution": f"WITH {_SETS} SELECT trace_id, CAST(call_idx AS BIGINT) AS call_idx, CAST(result_idx AS BIGINT) AS result_idx, confidence FROM joins",
+    "gauge_report": f"""WITH RECURSIVE {_JOINED}, c AS (SELECT n.*, j.confidence FROM nodes n LEFT JOIN joins j ON j.trace_id = n.trace_id AND j.call_idx = n.idx WHERE n.kind = 'tool_call'),
       g AS (SELECT trace_id, count(*) AS calls, count(args) * 10000 // count(*) AS inspectable_bp, count(*) FILTER (degraded) * 10000 // count(*) AS degraded_bp,
         CASE WHEN count(confidence) = 0 THEN 0 ELSE count(*) FILTER (confidence = 'explicit') * 10000 // count(confidence) END AS explicit_bp,
         CASE WHEN count(confidence) = 0 THEN 0 ELSE count(*) FILTER (confidence = 'nested') * 10000 // count(confidence) END AS nested_bp,
