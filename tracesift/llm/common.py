@@ -70,11 +70,44 @@ def text_key() -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))), 256), 1, 32))
 
 
-def gapless(scratch: Scratch, df: DataFrame, group: list[str], order: list[str], out: str, weight: str | None = None) -> DataFrame:
+#: Bits of a bitmap, and bitmaps of a filter: 8 million bits, 1 MB, whatever the table's size.
+_BITMAP, _BITMAPS = 32_768, 256
+
+
+def possibly(rows: DataFrame, pick: Column, picks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` whose `pick` (long) may be among `picks` (a column `pick`), and those whose pick is surely not, without a shuffle.
+
+    A bit for each hashed pick is broadcast: 1 MB at any size. Where picks are very many, more rows are possible ones.
+    """
+    slot = lambda p: F.pmod(F.xxhash64(p, F.lit(7)), F.lit(_BITMAP * _BITMAPS))
+    at = picks.select(slot(F.col("pick")).alias("at"))
+    maps = at.groupBy((F.col("at") / _BITMAP).cast("int").alias("_map")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_BITMAP))).alias("_bits"))
+    named = rows.withColumn("_at", slot(pick)).withColumn("_map", (F.col("_at") / _BITMAP).cast("int"))
+    met = named.join(F.broadcast(maps), "_map", "left")
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast(pmod(_at, {_BITMAP}) div 8 AS int) + 1, 1)), 16, 10) AS int)")
+    seen = F.coalesce((byte / F.pow(F.lit(2), F.pmod("_at", F.lit(8)))).cast("int") % 2 == 1, F.lit(False))
+    met = met.withColumn("_seen", seen).drop("_at", "_map", "_bits")
+    return met.filter("_seen").drop("_seen"), met.filter("NOT _seen").drop("_seen")
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
+def gapless(scratch: Scratch, df: DataFrame, group: list[str], order: list[str], out: str, weight: str | None = None, few: bool = False) -> DataFrame:
     """Adds `out`: a gapless rank from 0 within `group`, or with `weight` the sum of the weights before.
 
     `df` must be a stored table with a column `pid`, any deal of its rows. Each (group, pid) is ranked
-    by itself and moved by what the smaller pids hold, so no group has to meet in one task.
+    by itself and moved by what the smaller pids hold, so no group has to meet in one task. `few` says that there is
+    a bound on the pairs of group and pid, small enough to be broadcast.
     """
     from pyspark.sql import Window
 
@@ -86,8 +119,8 @@ def gapless(scratch: Scratch, df: DataFrame, group: list[str], order: list[str],
     own = (F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - amount) if weight else F.row_number().over(inside) - 1
     ranked = df.withColumn("_own", own.cast("long"))
     same = [ranked[c].eqNullSafe(start[f"_{c}"]) for c in [*group, "pid"]]
-    # a row for each group and deal: too many for a broadcast, and `ranked` is dealt by these columns already
-    joined = ranked.join(start.hint("merge"), on=[x for x in same], how="inner")
+    # without a bound on the groups and deals no broadcast; `ranked` is dealt by these columns already
+    joined = ranked.join(F.broadcast(start) if few else start.hint("merge"), on=[x for x in same], how="inner")
     return joined.withColumn(out, F.col("_start") + F.col("_own")).drop("_own", "_start", *[f"_{c}" for c in [*group, "pid"]])
 
 

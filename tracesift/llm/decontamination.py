@@ -183,8 +183,15 @@ def _scan(batches, automaton, more: bool):
         yield pa.record_batch([columns[c] for c in names], names=names)
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS, keep_text: bool = False) -> DataFrame:
-    """doc_id (with `keep_text` all columns as one, `row`), n_words, the disjoint spans of words hit, the items found."""
+def _then(batches, automaton, then):
+    yield from then(_scan(batches, automaton, False))
+
+
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS, keep_text: bool = False, then=None, schema=None) -> DataFrame:
+    """doc_id (with `keep_text` all columns as one, `row`), n_words, the disjoint spans of words hit, the items found.
+
+    With `then` what it makes of batches of these (`row` for doc_id), in the same Python worker as the last pass.
+    """
     arrow_batches(spark)
     scratch = Scratch(spark, "decontamination")
     own = docs if keep_text else docs.select("doc_id", "text")
@@ -195,6 +202,8 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     automaton, k = next(automata, None) or Automaton([], window), 0
     while automaton is not None:
         following = next(automata, None)
+        if following is None and then is not None:
+            return now.mapInArrow(partial(_then, automaton=spark.sparkContext.broadcast(automaton), then=then), schema)
         fields = [f for f in now.schema.fields if f.name != "text" or following is not None]
         now = now.mapInArrow(partial(_scan, automaton=spark.sparkContext.broadcast(automaton), more=following is not None), type(now.schema)(fields))
         if following is not None:
@@ -208,7 +217,7 @@ def _digest(batches):
         spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
         n_hit = pa.array([sum(s["end"] - s["first"] for s in x) for x in spans], pa.int64())
         sha = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items])
-        yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), n_hit, pa.array([len(x) for x in items], pa.int64()), sha], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+        yield pa.record_batch([batch.column("row").field("doc_id"), batch.column("n_words"), n_hit, pa.array([len(x) for x in items], pa.int64()), sha], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
 def without(text: str, spans: list[dict]) -> str:
@@ -237,12 +246,12 @@ def _cut(batches, coverage: float):
 
 def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The documents without the spans found; those of which more than `coverage` is hit are dropped."""
-    return find(spark, docs, benchmark, window, keep_text=True).mapInArrow(partial(_cut, coverage=coverage), docs.schema)
+    return find(spark, docs, benchmark, window, keep_text=True, then=partial(_cut, coverage=coverage), schema=docs.schema)
 
 
 def op7_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    rows = found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    digest = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
+    rows = find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), then=_digest, schema=digest)
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 

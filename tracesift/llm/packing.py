@@ -23,18 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, gapless, table
-from .tokens import encoded, tokenizer_path
+from .common import Scratch, arrow_batches, gapless, give_back, table
+from .tokens import CACHE_ENTRIES, encoded, tokenizer_path
 
 #: Sweeps of multiplicative weights over the lengths, lengths priced in a knapsack, how fast prices fall, and the power of its length with which a price begins.
 SWEEPS, PRICED, FALL, POWER = 4, 48, 0.25, 1.01
 
+#: Parts in which the pieces of one length are ranked.
+DEALS = 128
+
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def _cut(batches, path: str, end: int, capacity: int):
+def _cut(batches, path: str, end: int, capacity: int, entries: int = CACHE_ENTRIES):
     """The pieces of each document: all of `capacity` but the first, which holds what is left over."""
-    for docs, ids in encoded(batches, path, end):
+    for docs, ids in encoded(batches, path, end, entries=entries):
         out = [[], [], [], [], []]
         for doc, x in zip(docs, ids, strict=True):
             at = 0
@@ -45,6 +48,7 @@ def _cut(batches, path: str, end: int, capacity: int):
                     column.append(value)
                 at, size = at + size, capacity
         yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    give_back()
 
 
 def _knapsack(price: np.ndarray, sizes: np.ndarray, copies: np.ndarray, room: int) -> dict[int, int]:
@@ -160,15 +164,18 @@ def _place(batches, slots: dict[int, np.ndarray]):
         yield pa.record_batch([*[batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = 2048, end: int = 0, tokenizer: str | None = None) -> DataFrame:
-    """A row for each piece: where it starts in its document, and its sequence and place there."""
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = 2048, end: int = 0, tokenizer: str | None = None, entries: int = CACHE_ENTRIES) -> DataFrame:
+    """A row for each piece: where it starts in its document, and its sequence and place there.
+
+    `entries` bounds the table of encoded words that a Python worker keeps.
+    """
     arrow_batches(spark)
     scratch = Scratch(spark, "packing")
-    cut = docs.select("doc_id", "text").mapInArrow(partial(_cut, path=tokenizer or tokenizer_path(), end=end, capacity=capacity), _PIECES)
-    pieces = scratch.write(cut.withColumn("pid", F.spark_partition_id()), "pieces")
+    cut = docs.select("doc_id", "text").mapInArrow(partial(_cut, path=tokenizer or tokenizer_path(), end=end, capacity=capacity, entries=entries), _PIECES)
+    pieces = scratch.write(cut.withColumn("pid", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(DEALS)).cast("int")), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a length, `capacity` at most
     slots = _slots(solve(histogram, capacity))
-    ranked = gapless(scratch, pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
+    ranked = gapless(scratch, pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", few=True)  # capacity * DEALS rows at most
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(partial(_place, slots=slots), _PIECES + ", sequence_id long, offset long")
 
 

@@ -56,7 +56,7 @@ _VALID = {
     "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
 }
 _SPAN = "struct<start: bigint, rank: int, end: bigint, kind: string, value: string>"
-_WORD = r"r'[\p{L}\p{N}]++'"
+_WORD, _GAP = r"r'[\p{L}\p{N}]++'", r"r'[^\p{L}\p{N}]++'"
 
 
 def _let(name: str, value: str, then: str) -> str:
@@ -126,7 +126,7 @@ def _entities() -> Column:
 
 def _terms(text: str) -> Column:
     """The words of a text in lower case, each once."""
-    return F.expr(f"filter(array_distinct(transform(regexp_extract_all({text}, {_WORD}, 0), w -> lower(w))), w -> length(w) >= {LETTERS})")
+    return F.expr(f"filter(array_distinct(transform(split({text}, {_GAP}), w -> lower(w))), w -> length(w) >= {LETTERS})")
 
 
 def disclosing(scratch: Scratch, docs: DataFrame, base: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, table, text_key
+from .common import Scratch, arrow_batches, possibly, table, text_key
 from .components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -168,13 +168,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTAN
 
 
 def first_of(scratch: Scratch, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of each component in `rows` (doc_id, key, component) the document with the smallest doc_id (then text key), with all its columns."""
+    """Of each component in `rows` (doc_id, key, component) the document with the smallest doc_id (then text key), with all its columns.
+
+    Documents alone in their component pass without a shuffle; only those that may be in a larger one meet what is kept.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key"))
-    named = rows.groupBy("component").agg(first.alias("x"))
+    named = scratch.write(rows.groupBy("component").agg(first.alias("x"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("component", "x"), "groups")
     kept = scratch.write(named.select(F.xxhash64("x.key", "x.doc_id").alias("_pick"), F.col("x.key").alias("_key")), "kept")
+    grouped_rows = scratch.write(rows.join(named.select("component"), "component", "left_semi").select(F.xxhash64("key", "doc_id").alias("pick")), "picks")
     # all columns in one, so that none of theirs clashes with those made here
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key().alias("_key"), F.xxhash64(text_key(), "doc_id").alias("_pick"))
-    return keyed.join(kept, ["_pick", "_key"], "left_semi").dropDuplicates(["_pick", "_key"]).select("row.*")
+    met, alone = possibly(keyed, F.col("_pick"), grouped_rows)
+    # the few that share a bit with a document of a group are alone as well: told apart by the picks themselves
+    of_group = grouped_rows.distinct().withColumnRenamed("pick", "_pick")
+    alone = alone.unionByName(met.join(of_group, "_pick", "left_anti"))
+    return alone.select("row.*").unionByName(met.join(kept, ["_pick", "_key"], "left_semi").dropDuplicates(["_pick", "_key"]).select("row.*"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:

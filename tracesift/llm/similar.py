@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Scratch, arrow_batches, mix, span_hashes, text_key, window_hashes, word_spans
+from .common import NOT_SPACE, Scratch, arrow_batches, give_back, mix, possibly, span_hashes, text_key, window_hashes, word_spans
 from .components import components
 from .simhash import first_of
 
@@ -46,7 +46,7 @@ WORDS, SEGMENTS = 8, 16
 #: Signatures of one half that one task compares; a variant's rows above which they are compared one with the rest.
 BUCKET, PAIRWISE = 50_000, 48
 #: Rows a task gathers, of whole halves, before it compares; shingles of a block of a cluster.
-GATHER, CLUSTER = 100_000, 1 << 21
+GATHER, CLUSTER = 25_000, 1 << 18
 _SALTS = np.random.Generator(np.random.PCG64(51966)).integers(1, 2**63, size=WORDS + 2, dtype=np.uint64)
 
 
@@ -98,6 +98,7 @@ def _signed(batches, shingle: int):
         made = np.stack([signature(t.as_py() or b"", shingle) for t in batch.column("text")])
         words = [pa.array(made[:, k].copy().view(np.int64)) for k in range(WORDS)]
         yield pa.record_batch([batch.column("doc_id"), batch.column("key"), names(made), *words], names=["doc_id", "key", "node", *_COLUMNS])
+    give_back()
 
 
 def halves(distinct: DataFrame, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
@@ -208,6 +209,7 @@ def _edges(batches, most: int):
         words = np.stack([table.column(c).to_numpy().view(np.uint64) for c in _COLUMNS], axis=1)
         a, b = linked(table.column("key").to_numpy(), words, most)
         yield pa.record_batch([names(words[a]), names(words[b])], names=["u", "v"])
+    give_back()
 
 
 def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -254,6 +256,7 @@ def _verified(batches):
                 left += [nodes[a + i] for i, _ in found]
                 right += [nodes[a + j] for _, j in found]
         yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["u", "v"])
+    give_back()
 
 
 def _sets(batches, shingle: int):
@@ -268,7 +271,8 @@ def verified(scratch: Scratch, docs: DataFrame, signed: DataFrame, clusters: Dat
     some = signed.join(clusters, "node").groupBy("node", "cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("x"))
     some = scratch.write(some.select("node", "cluster", F.xxhash64("x.key", "x.doc_id").alias("pick"), F.col("x.key").alias("key")), "cluster-texts")
     keyed = docs.select(F.col("text").cast("binary").alias("text"), text_key().alias("key"), F.xxhash64(text_key(), "doc_id").alias("pick"))
-    texts = keyed.join(some, ["pick", "key"]).select("node", "cluster", "text")
+    # most documents have no near copy: their texts are not shuffled
+    texts = possibly(keyed, F.col("pick"), some.select("pick"))[0].join(some, ["pick", "key"]).select("node", "cluster", "text")
     sets = scratch.write(texts.mapInArrow(partial(_sets, shingle=shingle), "node binary, cluster binary, shingles array<long>").dropDuplicates(["node"]), "sets")
     sizes = sets.groupBy("cluster").agg(F.sum(F.size("shingles") + 1).alias("n")).filter(F.col("n") > block)
     large = scratch.write(sizes.select("cluster", F.ceil(2 * F.col("n") / block).cast("int").alias("blocks")), "large")

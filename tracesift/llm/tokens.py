@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 
-#: Entries of a worker's table; a full table is kept once more as the older one, then forgotten.
+#: Entries of a worker's table, some 200 bytes each; a full table is kept once more as the older one, then forgotten.
 CACHE_ENTRIES = 600_000
 
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -191,20 +191,21 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """The worker's encoder for a tokenizer file, made once."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, entries)
+    _ENCODERS[path].limit = entries
     return _ENCODERS[path]
 
 
-def encoded(batches, path: str, end: int, at_once: int = 200):
+def encoded(batches, path: str, end: int, at_once: int = 200, entries: int = CACHE_ENTRIES):
     """From Arrow batches of (doc_id, text), lists of doc ids with ids as uint32 arrays, `end` appended.
 
     A null text counts as empty.
     """
     tail = np.array([end], dtype="<u4")
-    e = encoder(path)
+    e = encoder(path, entries)
     for batch in batches:
         for a in range(0, batch.num_rows, at_once):
             part = batch.slice(a, at_once)

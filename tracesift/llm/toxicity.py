@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, byte_class, mix, span_hashes, table, text_key, word_spans
+from .common import arrow_batches, byte_class, give_back, mix, span_hashes, table, text_key, word_spans
 
 #: Bound of either class in the training sample, hashed dimensions, and byte lengths of word beginnings.
 MOST, DIMENSIONS, BEGINNINGS = 3000, 1 << 20, (4, 5, 6)
@@ -236,6 +236,7 @@ def _keep(batches, model):
     for batch in batches:
         linear = np.array([model.value.linear((t.as_py() or "").encode()) for t in batch.column("text")])
         yield batch.filter(pa.array(model.value.chances(linear)[:, 0] < model.value.limit))
+    give_back()
 
 
 def clean(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
