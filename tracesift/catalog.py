@@ -24,11 +24,12 @@ class SourceClass:
     percent_decoded: bool = False
 
 
+#: What a match may begin after, placeholders, and names of fields that hold credentials.
 _EDGE = r"(?:\b|(?<=\\[ntr]))"
 _PLACEHOLDER = "(EXAMPLE|TEST|FAKE|DEMO|PLACEHOLDER|REDACTED).*"
 _FIELD = "(?:private|secret|access|client|refresh)[_-]?(?:key|secret|token)|api[_-]?key|apikey|secret|token|password|passwd"
 
-#: Shapes, lengths and placeholders of the credentials that providers document.
+#: Fixed values as well: shapes, lengths and placeholders of the credentials that providers document.
 CLASSES: tuple[SourceClass, ...] = (
     SourceClass("financial_account_identifier", _EDGE + r"[A-Z]{0,2}[0-9]{6,34}\b", structure="iban", exposure=False),
     SourceClass("github_token", _EDGE + r"ghp_[A-Za-z0-9]+\b", "ghp_[A-Za-z0-9]{36}", 8, ("(?i)ghp_(x|0|#)+", f"(?i)ghp_{_PLACEHOLDER}")),
@@ -49,6 +50,11 @@ HEX_SERVICE_TOKEN = SourceClass("hex_service_token", r"\b[0-9a-f]{40}\b", "[0-9a
 SINKS: dict[str, tuple[str, ...]] = {"send_email": ("to",), "post_to_webhook": ("url",)}
 
 
+#: What to change where arguments are not captured: by framework, and by the scope that instruments it.
+REMEDIATIONS = {"langchain": "tool arguments are not captured: with instrumentations on the GenAI utility layer set OTEL_SEMCONV_STABILITY_OPT_IN=gen_ai_latest_experimental and OTEL_INSTRUMENTATION_GENAI_CAPTURE_MESSAGE_CONTENT=SPAN_ONLY"}
+SCOPE_REMEDIATIONS = {"opentelemetry.instrumentation.langchain": "tool arguments are not captured: this scope captures content unless TRACELOOP_TRACE_CONTENT is false in the service's environment"}
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -76,6 +82,8 @@ class Catalog:
     sinks: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(SINKS))
     rules: tuple[Rule, ...] = RULES
     untrusted: tuple[str, ...] = ()
+    remediations: dict[str, str] = field(default_factory=lambda: dict(REMEDIATIONS))
+    scope_remediations: dict[str, str] = field(default_factory=lambda: dict(SCOPE_REMEDIATIONS))
 
     def __post_init__(self) -> None:
         """Checked before any job starts: names once, one group at most, known modes, stages, severities."""

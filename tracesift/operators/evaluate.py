@@ -24,17 +24,6 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...], mode: str) -> DataF
     return spark.createDataFrame(rows, "rule_id string, rule_version string, stage string, class string, sink string, severity string")
 
 
-def on_path(paths: DataFrame, nodes: DataFrame, joins: DataFrame) -> DataFrame:
-    """Adds `degraded` (any node of the path is) and `tiers`, the weak tiers of the joins along it, sorted."""
-    keys = ["trace_id", "source_idx", "sink_idx"]
-    steps = paths.select(*keys, F.posexplode("path").alias("k", "idx"), "path")
-    steps = steps.select(*keys, "idx", F.expr("get(path, k + 1)").alias("next"))
-    weak = joins.filter(~F.col("confidence").isin("explicit", "nested")).select("trace_id", F.col("call_idx").alias("idx"), F.col("result_idx").alias("next"), "confidence")
-    seen = steps.join(nodes.select("trace_id", "idx", "degraded"), ["trace_id", "idx"], "left").join(weak, ["trace_id", "idx", "next"], "left")
-    facts = seen.groupBy(*keys).agg(F.bool_or("degraded").alias("degraded"), F.array_sort(F.collect_set("confidence")).alias("tiers"))
-    return paths.join(facts, keys)
-
-
 def reasons():
     """Why a flow is no verdict, in the order in which reports name them."""
     weak = F.concat(F.lit("non-verdict join tier on witness path: "), F.array_join("tiers", ","))
@@ -42,22 +31,19 @@ def reasons():
     return F.array_compact(F.array(F.when(F.col("degraded"), "degraded node on witness path"), F.when(F.size("tiers") > 0, weak), F.when(F.col("stage") != "active", stage)))
 
 
-def _found(matches: DataFrame, nodes: DataFrame, joins: DataFrame, kind: str) -> DataFrame:
-    paths = taint.witness(nodes, joins, matches).select("trace_id", "source_idx", "sink_idx", "path")
-    rows = matches.join(on_path(paths, nodes, joins), ["trace_id", "source_idx", "sink_idx"])
-    return rows.withColumns({"reasons": reasons(), "kind": F.lit(kind)}).withColumn("is_verdict_grade", F.size("reasons") == 0).select(*_FINDING)
-
-
 def flow_findings(spark: SparkSession, nodes: DataFrame, joins: DataFrame, verbatim: DataFrame, flows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of verbatim matches (trace_id, source_idx, sink_idx, sink, class, value) and provenance flows.
 
-    Ordered by trace, source, sink, rule and kind where it is written out.
+    Ordered by trace, source, sink, rule and kind where it is written out. Paths are searched once for both kinds.
     """
-    exact = _found(verbatim.join(F.broadcast(rule_table(spark, rules, "verbatim")), ["class", "sink"]), nodes, joins, "verbatim")
-    told = exact.select("trace_id", "sink_idx", "value").distinct()
-    rest = flows.withColumnsRenamed({"result_idx": "source_idx", "token": "value"}).join(told, ["trace_id", "sink_idx", "value"], "left_anti")
-    loose = _found(rest.join(F.broadcast(rule_table(spark, rules, "provenance").drop("class")), "sink"), nodes, joins, "provenance")
-    return exact.unionByName(loose)
+    rule = ["rule_id", "rule_version", "stage", "severity"]
+    keys = ["trace_id", "source_idx", "sink_idx", "value"]
+    exact = verbatim.join(F.broadcast(rule_table(spark, rules, "verbatim")), ["class", "sink"]).select(*keys, *rule, F.lit("verbatim").alias("kind"))
+    rest = flows.withColumnsRenamed({"result_idx": "source_idx", "token": "value"}).join(exact.select("trace_id", "sink_idx", "value").distinct(), ["trace_id", "sink_idx", "value"], "left_anti")
+    loose = rest.join(F.broadcast(rule_table(spark, rules, "provenance").drop("class")), "sink").select(*keys, *rule, F.lit("provenance").alias("kind"))
+    matches = exact.unionByName(loose)
+    rows = matches.join(taint.witness(nodes, joins, matches), ["trace_id", "source_idx", "sink_idx"])
+    return rows.withColumn("reasons", reasons()).withColumn("is_verdict_grade", F.size("reasons") == 0).select(*_FINDING)
 
 
 def exposure_findings(spark: SparkSession, hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

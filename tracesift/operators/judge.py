@@ -1,20 +1,25 @@
-"""Exact values over a capture: every spelling of every placement against every string, then a verdict.
+"""Exact values over a capture: every spelling of every placement against every string and its views, then a verdict.
 
-Needles are a table of their own, joined, never literals. Few needles meet the capture by containment in a
-broadcast join whose size is checked; many are found by one automaton pass over each string in Arrow batches.
+Needles are a table of their own, never literals. One automaton pass in Arrow batches finds all of them; a ledger of
+more than GROUP needles takes several. A text that holds JSON is also searched as it reads once its escapes are undone,
+as often as that changes it; a value counts there only where the text itself does not hold it, at the fewest undoings.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracesift.functions.encodings import FORMS, needles
+from tracesift.functions.arguments import escaped
+from tracesift.functions.encodings import FORMS, needles, views
 
-#: Needles above which strings are read once by an automaton rather than once for each needle.
-NESTED_LOOP = 64
-#: Placements whose needles may be broadcast; more are handled in groups.
+#: Needles that are broadcast at once; more are handled in groups.
 GROUP = 20_000
+WITHHELD, RUN = "[withheld]", 6
 
 
 def needle_table(placements: DataFrame) -> DataFrame:
@@ -30,18 +35,20 @@ def needle_table(placements: DataFrame) -> DataFrame:
     return placements.select("placement", "value").mapInArrow(spell, "placement string, form string, rank int, needle binary")
 
 
+_HIT = "surface string, record long, level int, placement string, form string, rank int"
+
+
 def find(spark: SparkSession, surfaces: DataFrame, table: DataFrame, forms: tuple[str, ...] = FORMS) -> DataFrame:
-    """surface, record, placement, form, rank of every needle that a string holds."""
-    used = table.filter(F.col("form").isin(*forms))
-    rows = surfaces.filter(F.col("text").isNotNull())
-    if used.limit(NESTED_LOOP + 1).count() <= NESTED_LOOP:
-        return rows.join(F.broadcast(used), F.contains(F.col("text").cast("binary"), F.col("needle"))).select("surface", "record", "placement", "form", "rank")
+    """surface, record, placement, form, rank of every needle that a string holds (and level, where the strings have one)."""
+    leveled = "level" in surfaces.columns
+    rows = surfaces.filter(F.col("text").isNotNull()).select("surface", "record", (F.col("level") if leveled else F.lit(0)).cast("int").alias("level"), F.col("text").cast("binary").alias("text"))
     out, group = None, []
-    for row in used.orderBy("placement", "rank", "needle").toLocalIterator():
+    for row in table.filter(F.col("form").isin(*forms)).orderBy("placement", "rank", "needle").toLocalIterator():
         group.append((row["placement"], row["form"], row["rank"], bytes(row["needle"])))
         if len(group) == GROUP:
             out, group = _merge(out, _pass(spark, rows, group)), []
-    return _merge(out, _pass(spark, rows, group)) if group or out is None else out
+    found = _merge(out, _pass(spark, rows, group)) if group or out is None else out
+    return found if leveled else found.drop("level")
 
 
 def _merge(a: DataFrame | None, b: DataFrame) -> DataFrame:
@@ -65,12 +72,84 @@ def _pass(spark: SparkSession, rows: DataFrame, group: list[tuple]) -> DataFrame
         automaton.make_automaton()
         for batch in batches:
             out = []
-            for surface, record, text in zip(batch.column("surface").to_pylist(), batch.column("record").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for surface, record, level, text in zip(*(batch.column(c).to_pylist() for c in ("surface", "record", "level", "text")), strict=True):
                 found = {hit for _, who in automaton.iter(text.decode("latin-1")) for hit in who} if of else set()
-                out += [(surface, record, *hit) for hit in sorted(found)]
-            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["surface", "record", "placement", "form", "rank"])
+                out += [(surface, record, level, *hit) for hit in sorted(found)]
+            types = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32())
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _HIT.split(", ")])
+
+    return rows.mapInArrow(scan, _HIT)
+
+
+_OPENS = re.compile(r"[\[{]")
+
+
+def json_inside(data: bytes) -> list[bytes]:
+    """The JSON in a text that has escapes: the whole if it is an object, array or string, else each object or array in it."""
+    if b"\\" not in data:
+        return []
+    text = data.decode("utf-8", "surrogateescape")
+    decoder, out, at = json.JSONDecoder(), [], 0
+    try:
+        if isinstance(json.loads(text), str | list | dict):
+            return [data]
+    except RecursionError:
+        return [data]  # too deep to be told: read as if it were
+    except ValueError:
+        pass
+    while start := _OPENS.search(text, at):
+        try:
+            _, end = decoder.raw_decode(text, start.start())
+        except RecursionError:
+            return [data]
+        except ValueError:
+            at = start.start() + 1
+            continue
+        out.append(text[start.start() : end].encode("utf-8", "surrogateescape"))
+        at = end
+    return out
+
+
+def viewed(strings: DataFrame) -> DataFrame:
+    """surface, record, level (from 1), text of the views of strings that hold JSON; a null text where undoing did not come to an end."""
+
+    def undo(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for surface, record, text in zip(*(batch.column(c).to_pylist() for c in ("surface", "record", "text")), strict=True):
+                for part in json_inside(text):
+                    texts, complete = views(part)
+                    out += [(surface, record, k, t) for k, t in enumerate(texts, 1)]
+                    if not complete:
+                        out.append((surface, record, 0, None))
+            types = (pa.string(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["surface", "record", "level", "text"])
+
+    rows = strings.filter(F.col("text").isNotNull()).select("surface", "record", F.col("text").cast("binary").alias("text"))
+    return rows.filter(F.contains("text", F.lit(b"\\"))).mapInArrow(undo, "surface string, record long, level int, text binary")
+
+
+def decoded(form, level):
+    """A needle's form by all the escaping that was undone and that it spells."""
+    k = F.array_position(F.array(*map(F.lit, FORMS)), form) - 1
+    return F.when((level == 0) | (k > 2), form).when(k + level == 1, F.lit("json")).otherwise(F.lit("json2"))
+
+
+def find_viewed(spark: SparkSession, strings: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits (surface, record, placement, form) in strings and their views, one for each placement and string; and the strings escaped too deep."""
+    own = strings.select("surface", "record", F.lit(0).alias("level"), F.col("text").cast("binary").alias("text"))
+    seen = viewed(strings)
+    return fewest(find(spark, own.unionByName(seen.filter("text IS NOT NULL")), table)), seen.filter("text IS NULL").select("surface", "record").distinct()
 
-    return rows.select("surface", "record", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "surface string, record long, placement string, form string, rank int")
+
+def fewest(found: DataFrame) -> DataFrame:
+    """For each placement and string the hits at the fewest undoings, then the first form."""
+    place = W.partitionBy("surface", "record", "placement")
+    rows = found.withColumn("least", F.min("level").over(place)).filter("level = least")
+    best = rows.groupBy("surface", "record", "placement", "level").agg(F.min_by("form", "rank").alias("form"))
+    return best.select("surface", "record", "placement", decoded(F.col("form"), F.col("level")).alias("form"))
 
 
 def first_forms(hits: DataFrame) -> DataFrame:
@@ -92,3 +171,89 @@ def verdict(states_: DataFrame, unread: DataFrame) -> DataFrame:
     u = unread.agg(F.count(F.lit(1)).alias("unread"))
     v = F.when(F.col("leaked") > 0, "leak").when((F.col("unread") > 0) | (F.col("unknown") > 0), "incomplete").otherwise("clean")
     return s.join(F.broadcast(u)).withColumn("verdict", v)  # one row each
+
+
+def placement_states(placed: DataFrame, hits: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each placement with its state: leaked if anything holds it, exercised if something used it, else not_exercised."""
+    n = hits.groupBy("placement").agg(F.count(F.lit(1)).alias("n_hits"))
+    used = evidence.groupBy("placement").agg(F.array_sort(F.collect_set("evidence")).alias("evidence"))
+    rows = placed.select("placement", "kind", "required").join(n, "placement", "left").join(used, "placement", "left")
+    state = F.when(F.col("n_hits") > 0, "leaked").when(F.size("evidence") > 0, "exercised").otherwise("not_exercised")
+    return rows.select("placement", "kind", "required", state.alias("state"), F.coalesce("evidence", F.expr("cast(array() AS array<string>)")).alias("evidence"), F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"))
+
+
+def empty_capture(strings: DataFrame) -> DataFrame:
+    """A reason, if nothing was there to be searched."""
+    n = strings.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    return n.select(F.lit("empty_capture").alias("reason"), F.lit("").alias("subject"))
+
+
+def ledger_reasons(ledger: DataFrame, states_: DataFrame) -> list[DataFrame]:
+    """What a ledger says that keeps an answer from being clean."""
+    g = lambda name, kind="string": F.try_variant_get("record", f"$.{name}", kind)
+    of = lambda kind: ledger.filter(F.col("type") == kind)
+    reason = lambda rows, name, subject: rows.select(F.lit(name).alias("reason"), subject.alias("subject"))
+    isolated = F.coalesce(g("isolated", "boolean"), F.lit(False))
+    return [
+        reason(states_.filter("required AND state = 'not_exercised'"), "required_not_exercised", F.col("placement")),
+        reason(of("flow").filter(~g("status").eqNullSafe("ok")), "flow_not_ok", F.concat_ws("=", g("id"), g("status"))),
+        reason(of("unexpected"), "unexpected_credential", g("id")),
+        reason(of("network").filter(F.coalesce(g("required", "boolean"), F.lit(False)) & ~isolated), "network_not_isolated", F.lit("")),
+        reason(of("direct"), "direct_connection", F.concat(g("flow"), F.lit("="), g("protocol"), F.lit(":"), g("target"))),
+    ]
+
+
+def decided(states_: DataFrame, reasons: DataFrame) -> DataFrame:
+    """One row: any hit is a leak, else any reason makes it incomplete, only then is it clean; with the exit code."""
+    s = states_.agg(F.count(F.lit(1)).alias("placements"), *[F.count_if(F.col("state") == x).alias(x) for x in ("leaked", "exercised", "not_exercised")])
+    r = reasons.agg(F.count(F.lit(1)).alias("unread"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    v = F.when(F.col("leaked") > 0, "leak").when(F.col("unread") > 0, "incomplete").otherwise("clean")
+    return s.join(F.broadcast(r)).withColumn("verdict", v).withColumn("exit_code", F.when(v == "leak", 1).when(v == "incomplete", 3).otherwise(0))
+
+
+def coverage(states_: DataFrame, strings: DataFrame, listed: DataFrame, reasons: DataFrame) -> DataFrame:
+    """One row of counters: what was there, what was read, what was not."""
+    parts = [
+        states_.agg(F.count(F.lit(1)).alias("placements"), F.count_if("required").alias("required"), *[F.count_if(F.col("state") == x).alias(x) for x in ("leaked", "exercised", "not_exercised")]),
+        strings.agg(F.count(F.lit(1)).alias("strings"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("bytes")),
+        listed.agg(F.count_if("scannable").alias("files")),
+        reasons.agg(F.count_if(F.col("reason") == "not_scanned").alias("files_not_scanned"), F.count_if(F.col("reason") == "unparsed_record").alias("unparsed_records")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.join(F.broadcast(more))  # one row each
+    return out
+
+
+class Display:
+    """Text as it may be printed: withheld if it, or a view of it, holds a spelling or any run of RUN characters of a value."""
+
+    def __init__(self, values: list[str]):
+        self.spellings = [n for v in values for n, _ in needles(v)]
+        self.runs = {v[k : k + RUN] for v in values for k in range(len(v) - RUN + 1)}
+
+    def holds(self, text: str) -> bool:
+        texts, complete = views(text.encode("utf-8", "surrogatepass"))
+        for data in (text.encode("utf-8", "surrogatepass"), *texts):
+            shown = data.decode("utf-8", "surrogatepass")
+            if any(n in data for n in self.spellings) or any(shown[k : k + RUN] in self.runs for k in range(len(shown) - RUN + 1)):
+                return True
+        return not complete
+
+    def __call__(self, text: str) -> str:
+        flat = escaped(text)
+        return WITHHELD if self.holds(text) or self.holds(flat) else flat
+
+    def shown(self, printed: str, *received: str) -> str:
+        """Withheld as well if a form in which it came holds a value."""
+        return WITHHELD if any(self(x) == WITHHELD for x in (printed, *received)) else self(printed)
+
+
+def fragments(text: str, values: dict[str, str]) -> list[str]:
+    """Names of values of which the text, without their whole spellings, still holds a run of RUN characters."""
+    data = text.encode("utf-8", "surrogatepass")
+    for v in values.values():
+        for n, _ in sorted(needles(v), key=lambda x: -len(x[0])):
+            data = data.replace(n, b"\0")
+    left = data.decode("utf-8", "surrogatepass")
+    return sorted(name for name, v in values.items() if any(v[k : k + RUN] in left for k in range(len(v) - RUN + 1)))

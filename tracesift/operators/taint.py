@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracesift.catalog import SINKS, SourceClass
 from tracesift.functions.arguments import leaves
-from tracesift.functions.eligibility import canon, distinctive_tokens
+from tracesift.functions.eligibility import canon, distinctive_tokens, eligible
 
 
 def reachable(nodes: DataFrame, joins: DataFrame) -> DataFrame:
@@ -65,6 +65,15 @@ def labels(nodes: DataFrame, classes: tuple[SourceClass, ...]) -> DataFrame:
     return texts.select("trace_id", F.col("idx").alias("source_idx"), F.explode(F.array_distinct(found)).alias("x")).select("trace_id", "source_idx", "x.*")
 
 
+def eligible_labels(nodes: DataFrame, classes: tuple[SourceClass, ...]) -> DataFrame:
+    """Labels whose value clears its class's floor: classes without one only feed review."""
+    found = labels(nodes, classes)
+    ok = F.lit(False)
+    for c in classes:
+        ok = F.when(F.col("class") == c.name, eligible(F.col("value"), c)).otherwise(ok)
+    return found.filter(ok)
+
+
 def matched(sources: DataFrame, nodes: DataFrame, joins: DataFrame, sinks: dict[str, tuple[str, ...]] = SINKS) -> DataFrame:
     """Sources (trace_id, source_idx, ..., value) whose value, in canonical form, a string of a sink they reach holds."""
     starts = reachable(nodes.select("trace_id", "idx"), joins).withColumnRenamed("idx", "source_idx")
@@ -80,23 +89,21 @@ def verbatim(nodes: DataFrame, joins: DataFrame, pattern: str) -> DataFrame:
     return matched(values, nodes, joins).select("trace_id", "source_idx", "sink_idx", "sink", "value")
 
 
-def graded(matches: DataFrame, nodes: DataFrame, joins: DataFrame) -> DataFrame:
-    """Findings with their grade: a sink whose call has no explicit or nested join is no verdict, and says why."""
-    joined = joins.select("trace_id", F.col("call_idx").alias("sink_idx"), "confidence").dropDuplicates(["trace_id", "sink_idx"])
-    reasons = F.when(F.col("confidence").isNull(), F.array(F.lit("sink call is not joined"))).otherwise(F.expr("cast(array() AS array<string>)"))
-    rows = matches.join(joined, ["trace_id", "sink_idx"], "left").withColumn("reasons", reasons)
-    return rows.select("trace_id", "source_idx", "sink_idx", "sink", F.array_join("reasons", "; ").alias("reasons"), (F.size("reasons") == 0).alias("is_verdict_grade"))
-
-
 def witness(nodes: DataFrame, joins: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Shortest path from each source to each sink, the next node before joins: per trace, breadth first."""
+    """Shortest path from each source to each sink, the next node before joins: per trace, breadth first.
+
+    With whether a node on it is degraded, and the tiers, sorted, of the joins along it that are weaker than nesting.
+    """
 
     def one(key, want, edges):
         import pandas as pd
 
         jumps: dict[int, list[int]] = {}
-        for c, r in sorted(zip(edges["call_idx"], edges["result_idx"], strict=True)):
+        tier = {}
+        for c, r, confidence in sorted(zip(edges["call_idx"], edges["result_idx"], edges["confidence"], strict=True)):
             jumps.setdefault(c, []).append(r)
+            tier[c, r] = confidence
+        bad = {int(x) for x in want["bad"].iloc[0]} if len(want) else set()
         out = []
         for source, group in want.groupby("source_idx"):
             last, came, line = int(group["last_idx"].max()), {int(source): None}, [int(source)]
@@ -110,10 +117,13 @@ def witness(nodes: DataFrame, joins: DataFrame, pairs: DataFrame) -> DataFrame:
                 while at is not None:
                     path.append(at)
                     at = came[at]
-                out.append((key[0], int(source), int(sink), len(path) - 1, path[::-1]))
-        return pd.DataFrame(out, columns=["trace_id", "source_idx", "sink_idx", "steps", "path"])
+                path = path[::-1]
+                weak = {tier[step] for step in zip(path, path[1:], strict=False) if step in tier} - {"explicit", "nested"}
+                out.append((key[0], int(source), int(sink), len(path) - 1, path, not bad.isdisjoint(path), sorted(weak)))
+        return pd.DataFrame(out, columns=["trace_id", "source_idx", "sink_idx", "steps", "path", "degraded", "tiers"])
 
-    ends = nodes.groupBy("trace_id").agg(F.max("idx").alias("last_idx"))
+    ends = nodes.groupBy("trace_id").agg(F.max("idx").alias("last_idx"), F.collect_list(F.when(F.col("degraded"), F.col("idx"))).alias("bad"))
     want = pairs.select("trace_id", "source_idx", "sink_idx").distinct().join(ends, "trace_id")
-    edges = joins.select((F.col("trace_id") + 0).alias("trace_id"), "call_idx", "result_idx")  # columns of its own
-    return want.groupBy("trace_id").cogroup(edges.groupBy("trace_id")).applyInPandas(one, "trace_id long, source_idx int, sink_idx int, steps int, path array<int>").filter("steps >= 0")
+    edges = joins.select((F.col("trace_id") + 0).alias("trace_id"), "call_idx", "result_idx", "confidence")  # columns of its own
+    found = want.groupBy("trace_id").cogroup(edges.groupBy("trace_id")).applyInPandas(one, "trace_id long, source_idx int, sink_idx int, steps int, path array<int>, degraded boolean, tiers array<string>")
+    return found.filter("steps >= 0")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.catalog import CLASSES, HEX_SERVICE_TOKEN, SourceClass
+from tracesift.catalog import CLASSES, HEX_SERVICE_TOKEN, Rule, SourceClass
 from tracesift.functions import eligibility, names
-from tracesift.operators import audit, exposure, facts, judge, sessions, taint, trace
+from tracesift.operators import audit, evaluate, exposure, facts, judge, sessions, taint, trace
 from tracesift.sources.driver_tables import NODES_SQL, PLACEMENTS_SQL, SURFACES_SQL, event_nodes, message_nodes, placements, surfaces, table
 
 #: Classes whose patterns mean the same to the SQL engine's regexes.
@@ -53,13 +53,15 @@ def exposure_by_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exposure_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bundled classes over all surfaces: their regexes have no equal in SQL engines."""
-    return exposure.graded(exposure.subsumed(exposure.settled(exposure.candidates(surfaces(spark, sf_dir), (*CLASSES, HEX_SERVICE_TOKEN)))))
+    """All bundled classes that belong to the exposure scan, over all surfaces."""
+    hits = exposure.graded(exposure.subsumed(exposure.settled(exposure.candidates(surfaces(spark, sf_dir), (*(c for c in CLASSES if c.exposure), HEX_SERVICE_TOKEN)))))
+    return hits.withColumns({"start": F.col("start").cast("long"), "value_len": F.col("value_len").cast("long")})
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = event_nodes(spark, sf_dir)
-    return nodes, trace.resolve(nodes).filter("result_idx IS NOT NULL")
+    """Nodes and joins, kept while a query's several branches read them."""
+    nodes = event_nodes(spark, sf_dir).persist()
+    return nodes, trace.resolve(nodes).filter("result_idx IS NOT NULL").persist()
 
 
 def join_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +97,16 @@ def verbatim_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", F.col("source_idx").cast("long").alias("source_idx"), F.col("sink_idx").cast("long").alias("sink_idx"), "sink", eligibility.fingerprint(F.col("value")).alias("fingerprint"))
 
 
+_RULES = (Rule("item-to-mail", "verbatim", "item_value", "send_email"), Rule("item-to-webhook", "verbatim", "item_value", "post_to_webhook", "medium", stage="draft"), Rule("any-to-webhook", "provenance", None, "post_to_webhook", "low"))
+
+
 def flow_findings_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over flows: severity, and every reason why one is no verdict."""
     nodes, joins = _joined(spark, sf_dir)
-    rows = taint.graded(taint.verbatim(nodes, joins, _TOKEN), nodes, joins)
-    return rows.withColumns({"source_idx": F.col("source_idx").cast("long"), "sink_idx": F.col("sink_idx").cast("long")})
+    exact = taint.verbatim(nodes.filter("trace_id % 2 = 0"), joins, _TOKEN).withColumn("class", F.lit("item_value"))
+    rows = evaluate.flow_findings(spark, nodes, joins, exact, taint.provenance(nodes, joins), _RULES)
+    places = [F.col(c).cast("long").alias(c) for c in ("source_idx", "sink_idx")]
+    return rows.select("trace_id", *places, "rule_id", "kind", "severity", F.array_join("path", ",").alias("path"), F.array_join("reasons", "; ").alias("reasons"), "is_verdict_grade")
 
 
 def witness_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +126,7 @@ def needle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def needle_hits_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capture spelled in hex: only the hex needles hit it, and base64 ones when it is spelled so."""
-    part = _capture(spark, sf_dir).filter(F.col("text").rlike("[0-9a-f]{40}"))
+    part = _capture(spark, sf_dir)
     spelled = part.withColumn("text", F.lower(F.hex(F.col("text").cast("binary")))).withColumn("surface", F.concat("surface", F.lit(".hex")))
     other = part.withColumn("text", F.regexp_replace(F.base64(F.col("text").cast("binary")), "\r\n", "")).withColumn("surface", F.concat("surface", F.lit(".base64")))
     found = judge.find(spark, spelled.unionByName(other), judge.needle_table(placements(spark, sf_dir)))
@@ -149,9 +157,9 @@ _KEY = b"a key for comparing runs, not a secret"
 
 def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("surface") == "pages.html", "tool_call").when(F.col("surface") == "conversations.text", "context").otherwise("stored")
-    places = surfaces(spark, sf_dir).filter("surface IN ('pages.html', 'documents.text', 'conversations.text') AND text rlike '[0-9a-f]{40}'").select("record", kind.alias("kind"), "text")
+    places = surfaces(spark, sf_dir).filter("surface IN ('pages.html', 'documents.text', 'conversations.text')").select("record", kind.alias("kind"), "text")
     stored = audit.fingerprints(placements(spark, sf_dir).withColumnRenamed("placement", "credential"), _KEY)
-    return audit.states(stored, audit.hits(places, stored, _KEY))
+    return audit.states(stored, audit.hits(spark, places, stored, _KEY))
 
 
 def turn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,8 +303,20 @@ ORACLE_SQL: dict[str, str] = {
     "provenance_flows": f"WITH RECURSIVE {_FLOWS} SELECT trace_id, CAST(result_idx AS BIGINT) AS result_idx, CAST(sink_idx AS BIGINT) AS sink_idx, sink, token, origin FROM flows",
     "provenance_gauge": f"WITH RECURSIVE {_FLOWS} SELECT CASE WHEN origin IS NULL THEN 'unattributed' ELSE origin END || '->' || sink AS pair, flows, traces FROM (SELECT origin, sink, count(*) AS flows, count(DISTINCT trace_id) AS traces FROM flows GROUP BY origin, sink)",
     "verbatim_matches": f"WITH RECURSIVE {_VERBATIM} SELECT trace_id, CAST(source_idx AS BIGINT) AS source_idx, CAST(sink_idx AS BIGINT) AS sink_idx, sink, substr(sha256(value), 1, 12) AS fingerprint FROM matches",
-    "flow_findings_graded": f"""WITH RECURSIVE {_VERBATIM} SELECT m.trace_id, CAST(m.source_idx AS BIGINT) AS source_idx, CAST(m.sink_idx AS BIGINT) AS sink_idx, m.sink, CASE WHEN j.confidence IS NULL THEN 'sink call is not joined' ELSE '' END AS reasons, j.confidence IS NOT NULL AS is_verdict_grade
-      FROM matches m LEFT JOIN joins j ON j.trace_id = m.trace_id AND j.call_idx = m.sink_idx""",
+    "flow_findings_graded": f"""WITH RECURSIVE {_FLOWS},
+      labels AS (SELECT DISTINCT n.trace_id, n.idx AS source_idx, r.lo, unnest(regexp_extract_all(n.content, '{_TOKEN}')) AS value FROM nodes n JOIN reached r USING (trace_id, idx) WHERE n.kind = 'tool_result' AND n.trace_id % 2 = 0),
+      matches AS (SELECT l.trace_id, l.source_idx, s.sink_idx, s.sink, l.value FROM labels l JOIN sinks s ON s.trace_id = l.trace_id AND s.sink_idx >= l.lo AND contains(replace(replace(upper(s.args), ' ', ''), '-', ''), replace(replace(upper(l.value), ' ', ''), '-', ''))),
+      told AS (SELECT *, CASE sink WHEN 'send_email' THEN 'item-to-mail' ELSE 'item-to-webhook' END AS rule_id, 'verbatim' AS kind, CASE sink WHEN 'send_email' THEN 'high' ELSE 'medium' END AS severity FROM matches
+        UNION ALL SELECT trace_id, result_idx, sink_idx, sink, token, 'any-to-webhook', 'provenance', 'low' FROM flows f WHERE sink = 'post_to_webhook' AND NOT EXISTS (SELECT 1 FROM matches m WHERE m.trace_id = f.trace_id AND m.sink_idx = f.sink_idx AND m.value = f.token)),
+      want AS (SELECT DISTINCT trace_id, source_idx FROM told), ends AS (SELECT trace_id, max(idx) AS last FROM nodes GROUP BY trace_id),
+      edges AS (SELECT n.trace_id, n.idx AS a, n.idx + 1 AS b, 0 AS o FROM nodes n JOIN ends USING (trace_id) WHERE n.idx < last UNION ALL SELECT trace_id, call_idx, result_idx, 1 + result_idx FROM joins),
+      walk(trace_id, source_idx, node, choices, path) USING KEY (trace_id, source_idx, node) AS (SELECT trace_id, source_idx, source_idx, CAST([] AS INTEGER[]), [source_idx] FROM want
+        UNION SELECT w.trace_id, w.source_idx, e.b, min(list_append(w.choices, CAST(e.o AS INTEGER))), arg_min(list_append(w.path, e.b), list_append(w.choices, CAST(e.o AS INTEGER))) FROM walk w JOIN edges e ON e.trace_id = w.trace_id AND e.a = w.node
+          LEFT JOIN recurring.walk r ON r.trace_id = w.trace_id AND r.source_idx = w.source_idx AND r.node = e.b WHERE r.node IS NULL GROUP BY w.trace_id, w.source_idx, e.b),
+      bad AS (SELECT trace_id, list(idx) AS degraded FROM nodes WHERE degraded GROUP BY trace_id),
+      graded AS (SELECT t.*, array_to_string(w.path, ',') AS path, list_has_any(w.path, coalesce(bad.degraded, [])) AS rough FROM told t JOIN walk w ON w.trace_id = t.trace_id AND w.source_idx = t.source_idx AND w.node = t.sink_idx LEFT JOIN bad ON bad.trace_id = t.trace_id),
+      said AS (SELECT *, CASE WHEN rough THEN 'degraded node on witness path' ELSE '' END || CASE WHEN rough AND severity = 'medium' THEN '; ' ELSE '' END || CASE WHEN severity = 'medium' THEN 'rule stage is ''draft'', not active' ELSE '' END AS reasons FROM graded)
+      SELECT trace_id, CAST(source_idx AS BIGINT) AS source_idx, CAST(sink_idx AS BIGINT) AS sink_idx, rule_id, kind, severity, path, reasons, reasons = '' AS is_verdict_grade FROM said""",
     "witness_paths": f"""WITH RECURSIVE {_VERBATIM}, want AS (SELECT DISTINCT trace_id, source_idx, sink_idx FROM matches), ends AS (SELECT trace_id, max(idx) AS last FROM nodes GROUP BY trace_id),
       edges AS (SELECT n.trace_id, n.idx AS a, n.idx + 1 AS b FROM nodes n JOIN ends USING (trace_id) WHERE n.idx < last UNION SELECT trace_id, call_idx, result_idx FROM joins),
       walk(trace_id, source_idx, node, steps) USING KEY (trace_id, source_idx, node) AS (SELECT DISTINCT trace_id, source_idx, source_idx, 0 FROM want

@@ -16,6 +16,30 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", "content", (~F.startswith("content", F.lit(b"\x1f\x8b"))).alias("scannable"))
 
 
+def unscanned(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
+    """file, why of everything below the folder that is listed and not read: compressed files, links, and what has no rights to be read."""
+    packed = found.filter("NOT scannable").select(F.col("path").alias("file"), F.lit("compressed").alias("why"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    local = path.toUri().getScheme() in (None, "file")
+    odd = spark.createDataFrame(_local_oddities(path.toUri().getPath()) if local else [], "file string, why string")
+    return packed.unionByName(odd)
+
+
+def _local_oddities(root: str) -> list[tuple[str, str]]:
+    """Links are not followed, neither to files nor to folders: only local folders have them. Listed on the driver, names alone."""
+    import os
+
+    out = []
+    for at, folders, names in os.walk(root, onerror=lambda e: out.append((e.filename, "unreadable"))):
+        for name in sorted([*folders, *names]):
+            full = os.path.join(at, name)
+            if os.path.islink(full):
+                out.append((full, "symlink"))
+            elif name in names and not os.access(full, os.R_OK):
+                out.append((full, "unreadable"))
+    return sorted(out)
+
+
 def lines(found: DataFrame) -> DataFrame:
     """file, line (from 1), data: a last line without its end counts only if there is something in it."""
 
