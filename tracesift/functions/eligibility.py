@@ -84,10 +84,11 @@ def distinctive_tokens(text: Column, least: int = 8) -> Column:
 
 
 def matched_value(value: Column, of: SourceClass) -> Column:
-    """Percent escapes undone where the class says so; a plus sign stays, a stray % leaves the value as it is."""
+    """Percent escapes undone where the class says so; a plus sign and a stray % stay."""
     if not of.percent_decoded:
         return value
-    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    strays = F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(F.replace(strays, F.lit("+"), F.lit("%2B"))), value)
 
 
 def assignment_prefix(key_text: Column) -> Column:

@@ -25,33 +25,57 @@ def literal_prefix(pattern: str) -> str:
     return "".join(itertools.takewhile(lambda c: c not in _META, pattern))
 
 
+def gate(classes: tuple[SourceClass, ...]) -> str:
+    """One pattern that every text with a match of any class matches: texts are scanned once for all classes."""
+    return "|".join(f"(?:{c.pattern})" for c in classes)
+
+
 def candidates(surfaces: DataFrame, classes: tuple[SourceClass, ...]) -> DataFrame:
-    """surface, record, class, rank, start (code points, from 0), value: every match of every class.
+    """surface, record, class, rank, start (code points, from 0), value, before (the matched text up to the value): every match of every class.
 
-    The rank orders classes by the length of their literal prefix, longest first, then as the catalog does.
-    Offsets come from the pieces between matches; a grouped class's value starts where its group does.
+    The rank orders classes by the length of their literal prefix, longest first, then as the catalog does. The table is
+    read once; each class's matches are an array, and all of them are exploded together. Offsets come from the pieces
+    between matches; a grouped class's value starts where its group does.
     """
-    out = None
-    for rank, c in enumerate(sorted(classes, key=lambda c: -len(literal_prefix(c.pattern)))):
+    ordered = sorted(classes, key=lambda c: -len(literal_prefix(c.pattern)))
+    each = []
+    for rank, c in enumerate(ordered):
         whole, pieces = F.regexp_extract_all("text", F.lit(c.pattern), 0), F.split("text", c.pattern, -1)
-        value = F.regexp_extract_all("text", F.lit(c.pattern), c.group)
-        rows = surfaces.filter(F.col("text").rlike(c.pattern)).select("surface", "record", F.arrays_zip(pieces.alias("p"), whole.alias("m"), value.alias("v")).alias("z"))
-        at = F.expr("""aggregate(z, named_struct('at', 0, 'list', cast(array() AS array<struct<start: int, whole: string, value: string>>)),
-          (a, x) -> named_struct('at', a.at + length(x.p) + coalesce(length(x.m), 0), 'list',
-            if(x.m IS NULL, a.list, concat(a.list, array(named_struct('start', a.at + length(x.p), 'whole', x.m, 'value', x.v))))), a -> a.list)""")
-        rows = rows.select("surface", "record", F.explode(at).alias("h"))
-        start = F.col("h.start") + F.length("h.whole") - F.length("h.value") if c.group else F.col("h.start")
-        rows = rows.select("surface", "record", F.lit(c.name).alias("class"), F.lit(rank).alias("rank"), start.alias("start"), matched_value(F.col("h.value"), c).alias("value"))
-        ok, bad = eligible(F.col("value"), c), rejected(F.col("value"), c)
-        rows = rows.withColumns({"eligible": ok, "dropped": F.lit(c.floor is None and c.structure is None) & bad})
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        z = F.arrays_zip(pieces.alias("p"), whole.alias("m"), F.regexp_extract_all("text", F.lit(c.pattern), c.group).alias("v"))
+        none = F.expr("cast(array() AS array<struct<start: int, whole: string, value: string>>)")
+        at = F.aggregate(
+            F.when(F.col("text").rlike(c.pattern), z), F.struct(F.lit(0).alias("at"), none.alias("list")),
+            lambda a, x: F.struct((a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(x["m"].isNull(), a["list"]).otherwise(F.concat(a["list"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), x["m"].alias("whole"), x["v"].alias("value"))))).alias("list")),
+            lambda a: a["list"])
+        each.append(F.transform(F.coalesce(at, none), _ranked(rank)))
+    some = surfaces.filter(F.col("text").rlike(gate(classes)))
+    rows = some.select("surface", "record", F.explode(F.concat(*each)).alias("h")).select("surface", "record", "h.*")
+    is_ = lambda c: F.col("rank") == ordered.index(c)
+    pick = lambda of, default: _choose([(is_(c), of(c)) for c in classes], default)
+    grouped = pick(lambda c: F.lit(bool(c.group)), F.lit(False))
+    lead = F.when(grouped, F.length("whole") - F.length("value")).otherwise(0)
+    rows = rows.withColumns({"before": F.substring("whole", F.lit(1), lead), "start": F.col("start") + lead, "value": pick(lambda c: matched_value(F.col("value"), c), F.col("value"))})
+    return rows.select(
+        "surface", "record", pick(lambda c: F.lit(c.name), F.lit(None)).alias("class"), "rank", "start", "value",
+        pick(lambda c: eligible(F.col("value"), c), F.lit(False)).alias("eligible"), pick(lambda c: F.lit(c.floor is None and c.structure is None) & rejected(F.col("value"), c), F.lit(False)).alias("dropped"), "before",
+    )
+
+
+def _ranked(rank: int):
+    return lambda h: F.struct(F.lit(rank).alias("rank"), h["start"].alias("start"), h["whole"].alias("whole"), h["value"].alias("value"))
+
+
+def _choose(cases: list[tuple], default):
+    out = None
+    for test, value in cases:
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return default if out is None else out.otherwise(default)
 
 
 def settled(found: DataFrame) -> DataFrame:
     """At one place the class with the longest literal prefix wins, then the first in the catalog; what a class without a floor rejects is dropped."""
     place = W.partitionBy("surface", "record", "start").orderBy("rank")
-    return found.withColumn("n", F.row_number().over(place)).filter("n = 1 AND NOT dropped").drop("n", "dropped", "rank")
+    return found.withColumn("n", F.row_number().over(place)).filter("n = 1 AND NOT dropped").drop("n", "dropped", "rank", "before")
 
 
 def subsumed(hits: DataFrame) -> DataFrame:
@@ -74,5 +98,9 @@ def graded(hits: DataFrame) -> DataFrame:
 def by_fingerprint(findings: DataFrame) -> DataFrame:
     """How far each value spread; ordinals go by first appearance."""
     groups = findings.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("surface", "record").alias("records"), F.countDistinct("surface").alias("surfaces"), F.min(F.struct("surface", "record", "start")).alias("first"))
-    # one ordered pass over a row for each distinct value: ranks need a total order
-    return groups.select("fingerprint", "hits", "records", "surfaces", F.dense_rank().over(W.orderBy("first")).alias("ordinal"))
+    # ordinals without one task over all values: each range of first places is ranked by itself and moved by the ranges before
+    spread = groups.repartitionByRange("first").withColumn("part", F.spark_partition_id()).persist()
+    sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("skip", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each partition
+    own = F.row_number().over(W.partitionBy("part").orderBy("first"))
+    return spread.withColumn("own", own).join(before, "part").select("fingerprint", "hits", "records", "surfaces", (F.col("own") + F.col("skip")).alias("ordinal"))

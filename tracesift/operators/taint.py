@@ -61,7 +61,8 @@ def untrusted(flows: DataFrame, tools: tuple[str, ...]) -> DataFrame:
 def labels(nodes: DataFrame, classes: tuple[SourceClass, ...]) -> DataFrame:
     """trace_id, source_idx, class, value of every class in every text of the trace, each once."""
     texts = nodes.filter("kind <> 'tool_call' AND content IS NOT NULL")
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(c.pattern), 0), lambda v, n=c.name: F.struct(F.lit(n).alias("class"), v.alias("value"))) for c in classes]))
+    named = lambda name: lambda v: F.struct(F.lit(name).alias("class"), v.alias("value"))
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(c.pattern), 0), named(c.name)) for c in classes]))
     return texts.select("trace_id", F.col("idx").alias("source_idx"), F.explode(F.array_distinct(found)).alias("x")).select("trace_id", "source_idx", "x.*")
 
 
