@@ -40,16 +40,16 @@ def eligibility_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(eligibility.floor_prefix(F.col("v")).alias("prefix"), eligibility.distinct_characters(rest).cast("long").alias("distinct_chars"), eligibility.eligible(F.col("v"), HEX_SERVICE_TOKEN).alias("eligible")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simple_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exposure.graded(exposure.subsumed(exposure.settled(exposure.candidates(surfaces(spark, sf_dir), SIMPLE))))
 
 
 def exposure_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark, sf_dir).withColumns({"start": F.col("start").cast("long"), "value_len": F.col("value_len").cast("long")})
+    return simple_findings(spark, sf_dir).withColumns({"start": F.col("start").cast("long"), "value_len": F.col("value_len").cast("long")})
 
 
 def exposure_by_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposure.by_fingerprint(_findings(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return exposure.by_fingerprint(simple_findings(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 def exposure_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def exposure_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumns({"start": F.col("start").cast("long"), "value_len": F.col("value_len").cast("long")})
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def event_trace(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and joins, kept while a query's several branches read them."""
     nodes = event_nodes(spark, sf_dir).persist()
     return nodes, trace.resolve(nodes).filter("result_idx IS NOT NULL").persist()
@@ -75,25 +75,25 @@ def join_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gauge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.ladder(trace.gauge(*_joined(spark, sf_dir)))
+    return trace.ladder(trace.gauge(*event_trace(spark, sf_dir)))
 
 
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.reachable(*_joined(spark, sf_dir)).select("trace_id", F.col("idx").cast("long").alias("idx"), F.col("lo").cast("long").alias("lo"))
+    return taint.reachable(*event_trace(spark, sf_dir)).select("trace_id", F.col("idx").cast("long").alias("idx"), F.col("lo").cast("long").alias("lo"))
 
 
 def provenance_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = taint.provenance(*_joined(spark, sf_dir))
+    rows = taint.provenance(*event_trace(spark, sf_dir))
     return rows.select("trace_id", F.col("result_idx").cast("long").alias("result_idx"), F.col("sink_idx").cast("long").alias("sink_idx"), "sink", "token", "origin")
 
 
 def provenance_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = taint.provenance(*_joined(spark, sf_dir))
+    flows = taint.provenance(*event_trace(spark, sf_dir))
     return flows.groupBy(F.concat(F.coalesce("origin", F.lit("unattributed")), F.lit("->"), F.col("sink")).alias("pair")).agg(F.count(F.lit(1)).alias("flows"), F.countDistinct("trace_id").alias("traces"))
 
 
 def verbatim_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = taint.verbatim(*_joined(spark, sf_dir), _TOKEN)
+    rows = taint.verbatim(*event_trace(spark, sf_dir), _TOKEN)
     return rows.select("trace_id", F.col("source_idx").cast("long").alias("source_idx"), F.col("sink_idx").cast("long").alias("sink_idx"), "sink", eligibility.fingerprint(F.col("value")).alias("fingerprint"))
 
 
@@ -102,7 +102,7 @@ _RULES = (Rule("item-to-mail", "verbatim", "item_value", "send_email"), Rule("it
 
 def flow_findings_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over flows: severity, and every reason why one is no verdict."""
-    nodes, joins = _joined(spark, sf_dir)
+    nodes, joins = event_trace(spark, sf_dir)
     exact = taint.verbatim(nodes.filter("trace_id % 2 = 0"), joins, _TOKEN).withColumn("class", F.lit("item_value"))
     rows = evaluate.flow_findings(spark, nodes, joins, exact, taint.provenance(nodes, joins), _RULES)
     places = [F.col(c).cast("long").alias(c) for c in ("source_idx", "sink_idx")]
@@ -110,23 +110,23 @@ def flow_findings_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def witness_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, joins = _joined(spark, sf_dir)
+    nodes, joins = event_trace(spark, sf_dir)
     rows = taint.witness(nodes, joins, taint.verbatim(nodes, joins, _TOKEN))
     return rows.select("trace_id", F.col("source_idx").cast("long").alias("source_idx"), F.col("sink_idx").cast("long").alias("sink_idx"), F.col("steps").cast("long").alias("steps"))
 
 
-def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+def capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces(spark, sf_dir).filter("surface IN ('pages.html', 'documents.text')")
 
 
 def needle_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judge.find(spark, _capture(spark, sf_dir), judge.needle_table(placements(spark, sf_dir)), ("raw",))
+    found = judge.find(spark, capture(spark, sf_dir), judge.needle_table(placements(spark, sf_dir)), ("raw",))
     return found.select("surface", "record", "placement", "form")
 
 
 def needle_hits_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capture spelled in hex: only the hex needles hit it, and base64 ones when it is spelled so."""
-    part = _capture(spark, sf_dir)
+    part = capture(spark, sf_dir)
     spelled = part.withColumn("text", F.lower(F.hex(F.col("text").cast("binary")))).withColumn("surface", F.concat("surface", F.lit(".hex")))
     other = part.withColumn("text", F.regexp_replace(F.base64(F.col("text").cast("binary")), "\r\n", "")).withColumn("surface", F.concat("surface", F.lit(".base64")))
     found = judge.find(spark, spelled.unionByName(other), judge.needle_table(placements(spark, sf_dir)))
@@ -152,14 +152,14 @@ def request_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", pair).select("page_id", "host", F.regexp_extract("pair", "^([^=]*)", 1).alias("name"), F.regexp_extract("pair", "=(.*)$", 1).alias("value"))
 
 
-_KEY = b"a key for comparing runs, not a secret"
+KEY = b"a key for comparing runs, not a secret"
 
 
 def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("surface") == "pages.html", "tool_call").when(F.col("surface") == "conversations.text", "context").otherwise("stored")
     places = surfaces(spark, sf_dir).filter("surface IN ('pages.html', 'documents.text', 'conversations.text')").select("record", kind.alias("kind"), "text")
-    stored = audit.fingerprints(placements(spark, sf_dir).withColumnRenamed("placement", "credential"), _KEY)
-    return audit.states(stored, audit.hits(spark, places, stored, _KEY))
+    stored = audit.fingerprints(placements(spark, sf_dir).withColumnRenamed("placement", "credential"), KEY)
+    return audit.states(stored, audit.hits(spark, places, stored, KEY))
 
 
 def turn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ def withheld_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.withheld(named.unionByName(hosts), placements(spark, sf_dir)).groupBy("shown").agg(F.count(F.lit(1)).alias("names"))
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of five runs: which user kind did what at which tool, with the mode and witness it showed."""
     nodes = event_nodes(spark, sf_dir)
     rows = nodes.filter("kind = 'tool_call'").withColumns({"run": F.col("trace_id") % 5, "bucket": (F.col("call_id").cast("int") % 12).cast("long")})
@@ -197,22 +197,22 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run", "tool_name", "bucket", mode.alias("mode"), confidence.alias("confidence"), F.array(F.concat(F.lit("r"), F.col("idx").cast("string"))).alias("roles"), F.array(F.col("node_id"), F.col("node_id") + F.col("idx")).alias("witness"))
 
 
-_IDENTITY = ["tool_name", "bucket"]
+IDENTITY = ["tool_name", "bucket"]
 
 
 def fact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts.merge(_facts(spark, sf_dir), _IDENTITY)
-    return rows.select(*_IDENTITY, "mode", F.size("roles").cast("long").alias("n_roles"), "confidence", F.element_at("witness", 1).alias("witness_first"), "observations")
+    rows = facts.merge(event_facts(spark, sf_dir), IDENTITY)
+    return rows.select(*IDENTITY, "mode", F.size("roles").cast("long").alias("n_roles"), "confidence", F.element_at("witness", 1).alias("witness_first"), "observations")
 
 
 def required_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.baseline(_facts(spark, sf_dir).filter("bucket < 11 OR run < 2"), _IDENTITY).select(*_IDENTITY, F.col("mode_rank").cast("long").alias("mode_rank"), "required")
+    return facts.baseline(event_facts(spark, sf_dir).filter("bucket < 11 OR run < 2"), IDENTITY).select(*IDENTITY, F.col("mode_rank").cast("long").alias("mode_rank"), "required")
 
 
 def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _facts(spark, sf_dir)
-    base = facts.baseline(f.filter("run < 4 AND NOT (tool_name = 'send_email' AND bucket = 3) AND (mode = 'provenance' OR bucket > 2)"), _IDENTITY)
-    return facts.differences(base, f.filter("run = 4 AND bucket <> 7"), _IDENTITY)
+    f = event_facts(spark, sf_dir)
+    base = facts.baseline(f.filter("run < 4 AND NOT (tool_name = 'send_email' AND bucket = 3) AND (mode = 'provenance' OR bucket > 2)"), IDENTITY)
+    return facts.differences(base, f.filter("run = 4 AND bucket <> 7"), IDENTITY)
 
 
 def name_suggests_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,21 +240,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SETS = f"{NODES_SQL},{trace.JOINS_SQL}"
 _JOINED = f"{NODES_SQL},{trace.EXACT_SQL}"
-_REACH = f"""{_JOINED},
+REACH_SQL = f"""{_JOINED},
 reach(trace_id, idx, lo) AS (SELECT trace_id, idx, idx + 1 FROM nodes UNION SELECT r.trace_id, r.idx, least(r.lo, j.result_idx) FROM reach r JOIN joins j ON j.trace_id = r.trace_id AND (j.call_idx >= r.lo OR j.call_idx = r.idx) AND j.result_idx < r.lo),
 reached AS (SELECT trace_id, idx, min(lo) AS lo FROM reach GROUP BY ALL),
 sinks AS (SELECT trace_id, idx AS sink_idx, args, tool_name AS sink FROM nodes WHERE kind = 'tool_call' AND NOT degraded AND tool_name IN ('send_email', 'post_to_webhook'))"""
-_FLOWS = f"""{_REACH},
+_FLOWS = f"""{REACH_SQL},
 tokens AS (SELECT DISTINCT n.trace_id, n.idx AS result_idx, r.lo, unnest(regexp_extract_all(n.content, '[A-Za-z0-9][A-Za-z0-9._@+-]*')) AS token FROM nodes n JOIN reached r USING (trace_id, idx) WHERE n.kind = 'tool_result'),
 flow AS (SELECT t.trace_id, t.result_idx, s.sink_idx, s.sink, min(t.token) AS token FROM tokens t JOIN sinks s ON s.trace_id = t.trace_id AND s.sink_idx >= t.lo AND contains(s.args, t.token)
   WHERE length(t.token) >= 8 AND NOT regexp_full_match(t.token, '[0-9]+') GROUP BY ALL),
 origin AS (SELECT j.trace_id, j.result_idx, n.tool_name AS origin FROM (SELECT trace_id, result_idx, min(call_idx) AS idx FROM joins GROUP BY ALL) j JOIN nodes n USING (trace_id, idx)),
 flows AS (SELECT flow.*, origin FROM flow LEFT JOIN origin USING (trace_id, result_idx))"""
-_VERBATIM = f"""{_REACH},
+_VERBATIM = f"""{REACH_SQL},
 labels AS (SELECT DISTINCT n.trace_id, n.idx AS source_idx, r.lo, unnest(regexp_extract_all(n.content, '{_TOKEN}')) AS value FROM nodes n JOIN reached r USING (trace_id, idx) WHERE n.kind = 'tool_result'),
 matches AS (SELECT l.trace_id, l.source_idx, s.sink_idx, s.sink, l.value FROM labels l JOIN sinks s ON s.trace_id = l.trace_id AND s.sink_idx >= l.lo
   AND contains(replace(replace(upper(s.args), ' ', ''), '-', ''), replace(replace(upper(l.value), ' ', ''), '-', '')))"""
-_EXPOSED = f"""{SURFACES_SQL},
+EXPOSED_SQL = f"""{SURFACES_SQL},
 hex AS (SELECT surface, record, 'hex_service_token' AS class, 0 AS rank, text, unnest(regexp_extract_all(text, '\\b[0-9a-f]{{40}}\\b')) AS value, unnest(range(1, len(regexp_extract_all(text, '\\b[0-9a-f]{{40}}\\b')) + 1)) AS k,
   string_split_regex(text, '\\b[0-9a-f]{{40}}\\b') AS p FROM surfaces WHERE regexp_matches(text, '\\b[0-9a-f]{{40}}\\b')),
 fieldp AS (SELECT surface, record, text, regexp_extract_all(text, '(?i)(?:secret|token|password|passwd)[ \\t]*[=:][ \\t]*"?([^"''\\s,;)}}]{{8,256}})') AS w,
@@ -274,7 +274,7 @@ found AS (SELECT placement, count(*) AS n_hits FROM (SELECT DISTINCT p.placement
 states AS (SELECT p.placement, coalesce(n_hits, 0) AS n_hits, CASE WHEN n_hits > 0 THEN 'raw' ELSE '' END AS forms,
   CASE WHEN n_hits > 0 THEN 'leaked' WHEN p.placement < '8' THEN 'clean' ELSE 'unknown' END AS state FROM placements p LEFT JOIN found USING (placement))"""
 _SPANS = "s AS (SELECT user_id, event_type, event_id AS start, event_id + CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 AS \"end\" FROM events)"
-_FACTS = f"""{NODES_SQL},
+FACTS_SQL = f"""{NODES_SQL},
 facts AS (SELECT trace_id % 5 AS run, tool_name, CAST(call_id AS BIGINT) % 12 AS bucket, CASE WHEN node_id % 3 = 0 THEN 'verbatim' ELSE 'provenance' END AS mode,
   CASE WHEN degraded THEN 'heuristic' WHEN parent_id IS NOT NULL THEN 'nested' ELSE 'explicit' END AS confidence, 'r' || idx AS role, node_id, idx FROM nodes WHERE kind = 'tool_call')"""
 _MODE_RANK = "max(CASE mode WHEN 'verbatim' THEN 2 ELSE 1 END)"
@@ -288,8 +288,8 @@ ORACLE_SQL: dict[str, str] = {
       p AS (SELECT v, CASE WHEN regexp_matches(substr(v, 1, 16), '[-_]') THEN regexp_extract(substr(v, 1, 16), '^.*[-_]') ELSE substr(v, 1, 4) END AS prefix FROM m),
       d AS (SELECT v, prefix, len(list_distinct(list_filter(string_split(substr(v, length(prefix) + 1), ''), lambda c: c <> ''))) AS distinct_chars FROM p)
       SELECT prefix, distinct_chars, regexp_full_match(v, '[0-9a-f]{40}') AND distinct_chars >= 8 AND NOT regexp_full_match(v, '0+') AS eligible, count(*) AS n FROM d GROUP BY ALL""",
-    "exposure_hits": f"WITH {_EXPOSED} SELECT * FROM findings",
-    "exposure_by_fingerprint": f"""WITH {_EXPOSED}, g AS (SELECT fingerprint, count(*) AS hits, count(DISTINCT (surface, record)) AS records, count(DISTINCT surface) AS surfaces, min((surface, record, start)) AS f FROM findings WHERE fingerprint IS NOT NULL GROUP BY fingerprint)
+    "exposure_hits": f"WITH {EXPOSED_SQL} SELECT * FROM findings",
+    "exposure_by_fingerprint": f"""WITH {EXPOSED_SQL}, g AS (SELECT fingerprint, count(*) AS hits, count(DISTINCT (surface, record)) AS records, count(DISTINCT surface) AS surfaces, min((surface, record, start)) AS f FROM findings WHERE fingerprint IS NOT NULL GROUP BY fingerprint)
       SELECT fingerprint, hits, records, surfaces, dense_rank() OVER (ORDER BY f) AS ordinal FROM g""",
     "join_resolution_exact": f"WITH RECURSIVE {_JOINED} SELECT trace_id, CAST(call_idx AS BIGINT) AS call_idx, CAST(result_idx AS BIGINT) AS result_idx, confidence FROM exact",
     "join_resolution": f"WITH {_SETS} SELECT trace_id, CAST(call_idx AS BIGINT) AS call_idx, CAST(result_idx AS BIGINT) AS result_idx, confidence FROM joins",
@@ -299,7 +299,7 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN count(confidence) = 0 THEN 0 ELSE count(*) FILTER (confidence = 'nested') * 10000 // count(confidence) END AS nested_bp,
         count(*) FILTER (args IS NOT NULL AND NOT degraded AND confidence IS NOT NULL) * 10000 // count(*) AS eligible_bp FROM c GROUP BY trace_id)
       SELECT *, CASE WHEN explicit_bp = 10000 THEN 'explicit' WHEN explicit_bp + nested_bp = 10000 THEN 'structural' ELSE 'absent' END AS linkage, inspectable_bp > 0 AS taint_capable FROM g""",
-    "reachability": f"WITH RECURSIVE {_REACH} SELECT trace_id, CAST(idx AS BIGINT) AS idx, CAST(lo AS BIGINT) AS lo FROM reached",
+    "reachability": f"WITH RECURSIVE {REACH_SQL} SELECT trace_id, CAST(idx AS BIGINT) AS idx, CAST(lo AS BIGINT) AS lo FROM reached",
     "provenance_flows": f"WITH RECURSIVE {_FLOWS} SELECT trace_id, CAST(result_idx AS BIGINT) AS result_idx, CAST(sink_idx AS BIGINT) AS sink_idx, sink, token, origin FROM flows",
     "provenance_gauge": f"WITH RECURSIVE {_FLOWS} SELECT CASE WHEN origin IS NULL THEN 'unattributed' ELSE origin END || '->' || sink AS pair, flows, traces FROM (SELECT origin, sink, count(*) AS flows, count(DISTINCT trace_id) AS traces FROM flows GROUP BY origin, sink)",
     "verbatim_matches": f"WITH RECURSIVE {_VERBATIM} SELECT trace_id, CAST(source_idx AS BIGINT) AS source_idx, CAST(sink_idx AS BIGINT) AS sink_idx, sink, substr(sha256(value), 1, 12) AS fingerprint FROM matches",
@@ -348,12 +348,12 @@ ORACLE_SQL: dict[str, str] = {
       g AS (SELECT DISTINCT substr(value, k, 6) AS g FROM placements, range(1, 36) r(k)), p AS (SELECT name, unnest(range(1, greatest(length(name) - 4, 1))) AS k FROM n),
       held AS (SELECT DISTINCT name FROM p WHERE substr(name, k, 6) IN (SELECT g FROM g))
       SELECT CASE WHEN held.name IS NOT NULL THEN '[withheld]' ELSE n.name END AS shown, count(*) AS names FROM n LEFT JOIN held USING (name) GROUP BY ALL""",
-    "fact_merge": f"""WITH {_FACTS} SELECT tool_name, bucket, CASE {_MODE_RANK} WHEN 2 THEN 'verbatim' ELSE 'provenance' END AS mode, count(DISTINCT role) AS n_roles,
+    "fact_merge": f"""WITH {FACTS_SQL} SELECT tool_name, bucket, CASE {_MODE_RANK} WHEN 2 THEN 'verbatim' ELSE 'provenance' END AS mode, count(DISTINCT role) AS n_roles,
         CASE max(CASE confidence WHEN 'explicit' THEN 4 WHEN 'nested' THEN 3 WHEN 'content_mined' THEN 2 ELSE 1 END) WHEN 4 THEN 'explicit' WHEN 3 THEN 'nested' WHEN 2 THEN 'content_mined' ELSE 'heuristic' END AS confidence,
         min_by(node_id, (CASE confidence WHEN 'explicit' THEN -4 WHEN 'nested' THEN -3 WHEN 'content_mined' THEN -2 ELSE -1 END, node_id)) AS witness_first, count(*) AS observations FROM facts GROUP BY ALL""",
-    "required_allowed": f"""WITH {_FACTS}, f AS (SELECT * FROM facts WHERE bucket < 11 OR run < 2)
+    "required_allowed": f"""WITH {FACTS_SQL}, f AS (SELECT * FROM facts WHERE bucket < 11 OR run < 2)
       SELECT tool_name, bucket, CAST({_MODE_RANK} AS BIGINT) AS mode_rank, count(DISTINCT run) = (SELECT count(DISTINCT run) FROM f) AS required FROM f GROUP BY ALL""",
-    "baseline_delta": f"""WITH {_FACTS}, f AS (SELECT * FROM facts WHERE run < 4 AND NOT (tool_name = 'send_email' AND bucket = 3) AND (mode = 'provenance' OR bucket > 2)),
+    "baseline_delta": f"""WITH {FACTS_SQL}, f AS (SELECT * FROM facts WHERE run < 4 AND NOT (tool_name = 'send_email' AND bucket = 3) AND (mode = 'provenance' OR bucket > 2)),
       b AS (SELECT tool_name, bucket, {_MODE_RANK} AS mode_rank, count(DISTINCT run) = (SELECT count(DISTINCT run) FROM f) AS required FROM f GROUP BY ALL),
       c AS (SELECT tool_name, bucket, {_MODE_RANK} AS new_rank FROM facts WHERE run = 4 AND bucket <> 7 GROUP BY ALL),
       d AS (SELECT tool_name, bucket, CASE WHEN mode_rank IS NULL THEN 'new_fact_unguarded' WHEN new_rank IS NULL AND required THEN 'required_fact_missing' WHEN new_rank > mode_rank THEN 'mode_escalation' END AS kind FROM b FULL JOIN c USING (tool_name, bucket))
