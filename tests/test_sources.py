@@ -82,7 +82,7 @@ def test_ledger_and_verdict(spark, tmp_path):
     (tmp_path / "capture" / "c.jsonl").write_text(json.dumps({"a": {"b": f"x {json.dumps(value)} y"}}) + "\n")
     out = plans.judge_capture(spark, str(tmp_path / "ledger.jsonl"), (tmp_path / "capture").as_uri())
     assert [(r.placement, r.surface.split(":")[-1]) for r in out["hits"].collect()] == [("p1", "a.b")]
-    assert {(r.placement, r.state) for r in out["states"].collect()} == {("p1", "leaked"), ("p2", "clean")}
+    assert {(r.placement, r.state) for r in out["states"].collect()} == {("p1", "leaked"), ("p2", "exercised")}
     assert out["verdict"].first().verdict == "leak" and out["violations"].count() == 0
     bad = [*ledger, {"type": "placement", "id": "p1", "kind": "env", "value": "short", "required": True, "providers": []}, {"type": "exercised", "placement": "gone", "evidence": "request"}, {"type": "what"}, {"type": "unexpected", "id": "x", "more": 1}]
     (tmp_path / "bad.jsonl").write_text("\n".join(map(json.dumps, bad)) + '\n{"type": "flow", "type": "flow"}\n{')
@@ -90,16 +90,18 @@ def test_ledger_and_verdict(spark, tmp_path):
     assert reasons >= {"not_json", "unknown_type", "unknown_member", "repeated_id", "short_value", "dangling_placement"}
 
 
-def test_automaton_and_nested_loop_find_the_same(spark, monkeypatch):
-    placed = spark.createDataFrame([(f"p{k}", f"value-number-{k}") for k in range(4)], "placement string, value string")
-    strings = spark.createDataFrame([("s", 1, "a value-number-2 b"), ("s", 2, "none"), ("s", 3, "value%2Dnumber%2D3 " + b"value-number-0".hex()), ("s", 4, None)], "surface string, record long, text string")
-    table = judge.needle_table(placed)
-    by_automaton = {tuple(r) for r in judge.find(spark, strings, table).collect()}
-    monkeypatch.setattr(judge, "GROUP", 3)
-    assert {tuple(r) for r in judge.find(spark, strings, table).collect()} == by_automaton
-    monkeypatch.setattr(judge, "NESTED_LOOP", 10_000)
-    assert {tuple(r) for r in judge.find(spark, strings, table).collect()} == by_automaton
-    assert {(r[1], r[2], r[3]) for r in by_automaton} >= {(1, "p2", "raw"), (3, "p0", "hex")}
+def test_needles_are_those_that_texts_contain_whatever_the_groups(spark, monkeypatch):
+    from tracesift.functions.encodings import needles
+
+    placed = [(f"p{k}", f"value-number-{k}") for k in range(4)]
+    texts = [("s", 1, "a value-number-2 b"), ("s", 2, "none"), ("s", 3, "value%2Dnumber%2D3 " + b"value-number-0".hex()), ("s", 4, None)]
+    strings = spark.createDataFrame(texts, "surface string, record long, text string")
+    table = judge.needle_table(spark.createDataFrame(placed, "placement string, value string"))
+    want = {(r, p, form) for _, r, t in texts if t for p, v in placed for n, form in needles(v) if n in t.encode()}
+    for group in (judge.GROUP, 3):
+        monkeypatch.setattr(judge, "GROUP", group)
+        assert {(r.record, r.placement, r.form) for r in judge.find(spark, strings, table).collect()} == want
+    assert want >= {(1, "p2", "raw"), (3, "p0", "hex")}
 
 
 def test_requests(spark, tmp_path):

@@ -102,7 +102,7 @@ def audit_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.element_at(F.array(F.lit("path"), F.lit("json"), F.lit("url"), F.lit("base64"), F.lit("hex")), F.pmod("doc_id", F.lit(5)).cast("int") + 1)
     spelled = (
         F.when(form == "path", F.concat(F.lit(" https://h/?t="), value, F.lit("&u=1"))).when(form == "json", F.concat(F.lit(' "a\\u0020'), value, F.lit('\\n"')))
-        .when(form == "url", F.concat(F.lit(" q=%22"), value, F.lit("%22"))).when(form == "base64", F.concat(F.lit(" b:"), F.base64(inside))).otherwise(F.concat(F.lit(" 0x"), F.hex(inside)))
+        .when(form == "url", F.concat(F.lit(" q=%"), F.hex(F.substring(value, 1, 1)), F.expr("substring(regexp_extract(text, 'token = \"([0-9a-f]{40})\"', 1), 2)"))).when(form == "base64", F.concat(F.lit(" b:"), F.base64(inside))).otherwise(F.concat(F.lit(" 0x"), F.hex(inside)))
     )
     places = d.select(F.col("doc_id").alias("record"), form.alias("kind"), F.when(value != "", F.concat(bare, spelled)).otherwise(F.col("text")).alias("text"))
     stored = audit.fingerprints(placements(spark, sf_dir).withColumnRenamed("placement", "credential"), KEY)
@@ -229,7 +229,7 @@ ORACLE_SQL: dict[str, str] = {
       u AS (SELECT count(*) AS unread, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons FROM w)
       SELECT *, CASE WHEN leaked > 0 THEN 'leak' WHEN unread > 0 THEN 'incomplete' ELSE 'clean' END AS verdict, CAST(CASE WHEN leaked > 0 THEN 1 WHEN unread > 0 THEN 3 ELSE 0 END AS BIGINT) AS exit_code FROM a, u""",
     "audit_forms": f"""WITH {PLACEMENTS_SQL}, t AS (SELECT doc_id, ['path', 'json', 'url', 'base64', 'hex'][doc_id % 5 + 1] AS kind, regexp_extract(text, 'token = "([0-9a-f]{{40}})"', 1) AS value FROM documents)
-      SELECT kind, placement AS credential, CASE kind WHEN 'path' THEN 'raw' WHEN 'url' THEN 'raw' ELSE kind END AS form, count(*) AS records FROM t JOIN placements USING (value) GROUP BY ALL""",
+      SELECT kind, placement AS credential, CASE kind WHEN 'path' THEN 'raw' ELSE kind END AS form, count(*) AS records FROM t JOIN placements USING (value) GROUP BY ALL""",
     "guard_rules": f"""WITH {_E}, r AS (SELECT event_id % 8 AS kind, CASE event_id % 8 WHEN 0 THEN 'env-dump' WHEN 1 THEN CASE WHEN k IN ('1', '3', '5') THEN 'credential-variable' END WHEN 2 THEN CASE WHEN k IN ('2', '4') THEN 'credential-file' END
         WHEN 3 THEN 'gh-auth-token' WHEN 5 THEN CASE WHEN k IN ('2', '4') THEN 'credential-file' END END AS rule FROM e) SELECT kind, rule, count(*) AS n FROM r GROUP BY ALL""",
     "trajectory_nodes": """WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS idx, CASE role WHEN 'assistant' THEN 'llm_call' ELSE 'user_input' END AS kind, text FROM conversations)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracesift.functions.encodings import needles
 
-#: Values that one pass may carry to the executors.
+#: Values that one pass carries to the executors; more take several passes.
 MOST = 20_000
 
 
@@ -34,24 +34,32 @@ def redacted(text: str, finds: list[tuple[int, int, str]]) -> str:
 
 def redact(spark: SparkSession, texts: DataFrame, placements: DataFrame) -> DataFrame:
     """(id, text) with every spelling of every value replaced; JSON documents are walked, other texts read whole."""
-    rows = placements.select("placement", "value").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} values: redact by groups of them")
-    sent = spark.sparkContext.broadcast([(r["placement"], [n.decode("utf-8", "surrogateescape") for n, _ in needles(r["value"])]) for r in rows])
+    out, group = texts.select("id", "text"), {}
+    # groups of MOST values, one after another: what one group has put in place of a value is no value of the next
+    for r in placements.select("placement", "value").orderBy("placement", "value").toLocalIterator():
+        for n, _ in needles(r["value"]):
+            group.setdefault(n.decode("utf-8", "surrogateescape"), []).append(r["placement"])
+        if len(group) >= 40 * MOST:
+            out, group = _pass(spark, out, group), {}
+    return _pass(spark, out, group) if group else out
+
+
+def _pass(spark: SparkSession, texts: DataFrame, group: dict[str, list[str]]) -> DataFrame:
+    """One automaton over a group's spellings; values that share a spelling are all named."""
+    sent = spark.sparkContext.broadcast(group)
 
     def one(batches):
         import ahocorasick
         import pyarrow as pa
 
         automaton = ahocorasick.Automaton()
-        for name, spellings in sent.value:
-            for s in spellings:
-                automaton.add_word(s, (name, len(s)))
+        for spelling, names in sent.value.items():
+            automaton.add_word(spelling, (names, len(spelling)))
         automaton.make_automaton()
 
         def clean(value):
             if isinstance(value, str):
-                found = [(end + 1 - size, end + 1, name) for end, (name, size) in automaton.iter(value)] if sent.value else []
+                found = [(end + 1 - size, end + 1, name) for end, (names, size) in automaton.iter(value) for name in names]
                 return redacted(value, found) if found else value
             if isinstance(value, list):
                 return [clean(x) for x in value]
