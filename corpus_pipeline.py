@@ -3,6 +3,11 @@
 Toxic documents go; of near-duplicates one stays; passages of test items are cut out, and documents that are
 mostly such passages go; personal data are replaced; what is left is packed into sequences. All stages but
 the last return the columns of documents, with n_chars kept true to the text.
+
+Defined cases: a null or empty text is clean and a copy of every other such text, and packs as the end id alone; rows
+that share a doc_id are told apart by their texts, and equal rows are one; of a group of near copies the smallest doc_id
+stays, then the smallest text key; texts of any length are read whole; columns whose names clash with the operators'
+own are kept; empty documents, labels or test items leave a stage with nothing to do.
 """
 
 from __future__ import annotations
