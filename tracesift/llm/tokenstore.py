@@ -40,6 +40,8 @@ from .tokens import encoded, encoder, tokenizer_path
 MAGIC = b"TSPK2\n"
 #: Ids in the rolling window, least and most ids of a chunk, and the hash bits that make a cut (mean about 2**bits).
 WINDOW, LEAST, MOST, BITS = 8, 64, 4096, 9
+#: Words in a worker's table while it stages: it holds little else then.
+ENTRIES = 600_000
 #: Bytes of ids in a block, and of a pack before the next one begins.
 BLOCK, PACK = 1 << 18, 1 << 28
 
@@ -139,7 +141,7 @@ def blocks(folder: str, name: str):
 def _stage(batches, path: str, end: int, folder: str):
     dtype = encoder(path).dtype
     writer, seen = PackWriter(folder, dtype.itemsize), set()
-    for docs, streams in encoded(batches, path, end):
+    for docs, streams in encoded(batches, path, end, entries=ENTRIES):
         rows = []
         ends = np.cumsum([len(x) for x in streams])
         hits = marks(np.concatenate(streams))
