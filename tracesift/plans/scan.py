@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.catalog import Catalog
+from tracesift.lineage import kept
 from tracesift.operators import evaluate, exposure, judge, requests, taint, trace
 from tracesift.sources import captures, lines, otlp, surface
 
@@ -17,22 +18,22 @@ def scan(spark: SparkSession, folder: str, catalog: Catalog | None = None, frame
     """
     catalog = catalog or Catalog()
     # kept while the results that share them are written: files are read once for flows and once for exposure
-    spans = otlp.read_spans(spark, folder).persist()
-    nodes = otlp.nodes(spans).persist()
+    spans = kept(otlp.read_spans(spark, folder))
+    nodes = kept(otlp.nodes(spans))
     keyed = nodes.withColumn("trace_id", F.xxhash64("trace_id"))
-    resolved = trace.resolve(keyed).persist()
+    resolved = kept(trace.resolve(keyed))
     # a join that touches a span id of differing spans picks one of them in silence: it is named, not used
     twins = keyed.filter("twin").select("trace_id", "idx")
     joins = resolved.filter("result_idx IS NOT NULL")
     for end in ("call_idx", "result_idx"):
         joins = joins.join(twins.select((F.col("trace_id") + 0).alias("trace_id"), F.col("idx").alias(end)), ["trace_id", end], "left_anti")
-    joins = joins.select("trace_id", "call_idx", "result_idx", "confidence")
-    found = surface.read(spark, folder).persist()
+    joins = kept(joins.select("trace_id", "call_idx", "result_idx", "confidence"))
+    found = kept(surface.read(spark, folder))
     texts = F.when(F.col("header").isNull(), F.col("text")).otherwise(F.concat_ws(": ", "header", "text"))
     strings = found.filter("unread IS NULL").select(F.concat_ws(":", "file", "signal", "path").alias("surface"), F.concat_ws(":", "line", "record").alias("record"), texts.alias("text"))
     hits = exposure.graded(exposure.subsumed(exposure.settled(exposure.candidates(strings, tuple(c for c in catalog.classes if c.exposure)))))
-    flows = taint.provenance(keyed, joins, catalog.sinks)
-    exact = taint.matched(taint.eligible_labels(keyed, catalog.classes), keyed, joins, catalog.sinks)
+    flows = kept(taint.provenance(keyed, joins, catalog.sinks))
+    exact = kept(taint.matched(taint.eligible_labels(keyed, catalog.classes), keyed, joins, catalog.sinks))
     findings = evaluate.flow_findings(spark, keyed, joins, exact, taint.untrusted(flows, catalog.untrusted), catalog.rules)
     scopes = spans.filter("scope IS NOT NULL").groupBy(F.xxhash64("trace_id").alias("trace_id")).agg(F.min_by("scope", F.struct("start_nanos", "span_id")).alias("scope"))
     gauge = evaluate.remediation(trace.ladder(trace.gauge(keyed, joins)).join(scopes, "trace_id", "left"), catalog.scope_remediations, catalog.remediations, framework)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracesift.catalog import CLASSES, HEX_SERVICE_TOKEN, Rule, SourceClass
 from tracesift.functions import eligibility, names
+from tracesift.lineage import kept
 from tracesift.operators import audit, evaluate, exposure, facts, judge, sessions, taint, trace
 from tracesift.sources.driver_tables import NODES_SQL, PLACEMENTS_SQL, SURFACES_SQL, event_nodes, message_nodes, placements, surfaces, table
 
@@ -60,8 +61,8 @@ def exposure_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_trace(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and joins, kept while a query's several branches read them."""
-    nodes = event_nodes(spark, sf_dir).persist()
-    return nodes, trace.resolve(nodes).filter("result_idx IS NOT NULL").persist()
+    nodes = kept(event_nodes(spark, sf_dir))
+    return nodes, kept(trace.resolve(nodes).filter("result_idx IS NOT NULL"))
 
 
 def join_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
