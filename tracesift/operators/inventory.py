@@ -20,6 +20,8 @@ from tracesift.functions.names import name_words, not_secret_kind, suggests_secr
 from tracesift.operators import exposure
 from tracesift.sources.locations import LOCATIONS
 
+#: Formats that hold nothing but credentials: whatever their reader finds is one.
+SOLE = ("netrc", "git_credentials", "pgpass", "token_file", "private_key")
 #: Letters that a value assigned to a secret-sounding name has at least.
 SHORTEST = 8
 #: Endings of program texts, folders that are not searched, folders of others' code that are only named.
@@ -38,7 +40,8 @@ def field_reason(name: Column, value: Column, location: Column) -> Column:
     expands = location.isin(*[x.id for x in LOCATIONS if x.expands]) & full(F.trim(value), _REFERENCE)
     low = F.lower(name)
     named = suggests_secret(name_words(name)) & ~F.array_contains(table(lambda x: x.plain), low) & (F.length(value) >= SHORTEST) & ~full(value, "[a-z][a-z-]*")
-    reason = F.when(F.array_contains(table(lambda x: x.fields), low), "location").when(not_secret_kind(value).isNotNull(), None)
+    whole = location.isin(*[x.id for x in LOCATIONS if x.format in SOLE])
+    reason = F.when(whole | F.array_contains(table(lambda x: x.fields), low), "location").when(not_secret_kind(value).isNotNull(), None)
     reason = reason.when(value_shape(F.trim(value)).isNotNull(), "shape").when(named, "name")
     return F.when((F.trim(value) != "") & ~expands, reason)
 
