@@ -74,6 +74,15 @@ def test_simhash_links_every_near_pair_of_random_fingerprints(spark):
         assert met == {tuple(sorted((a, b))) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
 
 
+def test_simhash_variants_are_never_what_is_broadcast(spark, tmp_path):
+    spark.range(20_000).selectExpr("xxhash64(id) AS fp").write.parquet(f"file://{tmp_path}/fps")
+    stored = spark.read.schema("fp long").parquet(f"file://{tmp_path}/fps")
+    for bucket in (50_000, 4):
+        plan = simhash.variants(stored, bucket=bucket)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BuildRight") == 2 and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert simhash.variants(stored).count() == 64 * 20_000
+
+
 def test_keep_one_keeps_one_of_each_component(spark):
     rows = documents()
     roots = components_of([simhash_of(r[1]) for r in rows])

@@ -87,7 +87,8 @@ def variants(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     hot = frequent.select("count", F.explode(F.expr(f"array({', '.join(keys('segment', lambda *_: 'value'))})")).alias("key")).filter("key IS NOT NULL")
     hot = hot.groupBy("key").agg((F.sum("count") * 2 / bucket + 1).cast("int").alias("blocks"))
     rows = fps.select("fp", F.explode(F.expr(f"array({', '.join(keys(None, lambda first, width: _value('fp', first, width)))})")).alias("key"))
-    rows = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # the hint decides the side: Spark takes the 64 rows a fingerprint for one, and would broadcast them. `hot` has fewer than a row for bucket / 128 fingerprints
+    rows = rows.join(F.broadcast(hot), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     plain = rows.filter("blocks = 1").select("key", "fp")
     other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
     cut_up = rows.filter("blocks > 1").select("key", "fp", F.expr("pmod(xxhash64(fp), blocks)").cast("int").alias("own"), other)
