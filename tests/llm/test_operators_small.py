@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tests.llm.rows import SCHEMA, documents, frame
 from tracesift.llm import decontamination, packing, pii, sharding, simhash, similar, substrings, tokenstore, toxicity
+from tracesift.llm.common import Scratch
+from tracesift.llm.components import components
 from tracesift.llm.tokens import Encoder, tokenizer_path
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -96,6 +98,49 @@ def test_keep_one_keeps_one_of_each_component(spark):
     assert len({g for r in got for g in by_id[(r.doc_id, r.text)]}) == len(got)
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_one_task_finds_the_components_that_rounds_find(spark, kind):
+    rng = np.random.default_rng(7)
+    pairs = [*rng.integers(-200, 200, (150, 2)).tolist(), *[(300 + k, 301 + k) for k in rng.permutation(60).tolist()], (5, 5), (900, 900)]
+    name = (lambda x: x) if kind == "long" else (lambda x: bytes([x % 7 * 40, 0, 255]) + (x + 500).to_bytes(2, "little") + bytes(x % 3))
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"u {kind}, v {kind}").repartition(5)
+    least = {name(x): name(x) for p in pairs if p[0] != p[1] for x in p}
+    for _ in range(len(least)):
+        for a, b in pairs:
+            if a != b:
+                least[name(a)] = least[name(b)] = min(least[name(a)], least[name(b)])
+    read = lambda df: sorted((r.node if kind == "long" else bytes(r.node), r.component if kind == "long" else bytes(r.component)) for r in df.collect())
+    for whole in (0, 10, 1 << 18):
+        assert read(components(Scratch(spark, "test"), edges, whole=whole)) == sorted(least.items())
+    assert not components(Scratch(spark, "test"), edges.limit(0), whole=9).count()
+
+
+def test_the_pipeline_takes_no_rounds_for_few_near_copies(spark, monkeypatch):
+    wrote, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: wrote.append(name) or write(self, df, name))
+    words = [f"w{k}" for k in range(400)]
+    rows = [(n, " ".join(words[:n] + ["other"] + words[n:])) for n in range(6)] + [(10, "alone here in this table of texts")]
+    kept = similar.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10]
+    assert {"candidates-whole", "stars-whole"} <= set(wrote) and not [x for x in wrote if re.search(r"-[mls]?[1-9]", x)]
+
+
+def test_the_fit_holds_few_bytes_of_a_feature_on_the_driver():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    ids = [np.unique(rng.integers(0, toxicity.DIMENSIONS, 5000)).astype(np.int32) for _ in range(400)]
+    lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, [np.ones(len(x), dtype=np.int32) for x in ids])]
+    got = pa.table({"toxic": [k % 2 == 0 for k in range(400)], "words": [5000] * 400, "features": lists[0], "counts": lists[1]})
+    tracemalloc.start()
+    toxicity.fit(got, 200, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * toxicity.DIMENSIONS + 16 * sum(map(len, ids))
+
+
 def test_the_pipeline_keeps_one_of_all_copies_from_a_similarity_of_four_fifths(spark):
     import random
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, Scratch, arrow_batches, give_back, mix, possibly, span_hashes, text_key, window_hashes, word_spans
-from .components import components
+from .components import WHOLE, components
 from .simhash import first_of
 
 #: Words of a shingle, the least similarity as a fraction, standard errors beyond it that still make candidates.
@@ -297,10 +297,10 @@ def grouped(scratch: Scratch, docs: DataFrame, shingle: int = SHINGLE, most: int
     arrow_batches(spark, 50_000)
     links = scratch.write(rows.mapInArrow(partial(_edges, most=limit() if most is None else most), "u binary, v binary").distinct(), "links")
     arrow_batches(spark)
-    clusters = scratch.write(components(scratch, links, "candidates").withColumnRenamed("component", "cluster"), "clusters")
+    clusters = scratch.write(components(scratch, links, "candidates", WHOLE).withColumnRenamed("component", "cluster"), "clusters")
     edges = verified(scratch, docs, signed, clusters, shingle)
     arrow_batches(spark)
-    parts = components(scratch, edges, "stars").withColumnRenamed("node", "of")
+    parts = components(scratch, edges, "stars", WHOLE).withColumnRenamed("node", "of")
     both = signed.select("doc_id", "key", "node").join(parts, F.col("node") == F.col("of"), "left")
     return both.select("doc_id", "key", F.coalesce("component", "node").alias("component"))
 

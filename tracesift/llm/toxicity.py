@@ -147,18 +147,28 @@ def _count(batches):
         yield pa.record_batch([batch.column("toxic"), pa.array(words, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["toxic", "words", "features", "counts"])
 
 
+def _summed(places: np.ndarray, size: int, weights=None, piece: int = 1 << 18) -> np.ndarray:
+    """What bincount gives, a piece at a time: it makes copies of 8 bytes of what it is given. `weights`: of a slice, whole numbers."""
+    out = np.zeros(size, dtype=np.int64)
+    for a in range(0, len(places), piece):
+        at = slice(a, a + piece)
+        out += np.bincount(places[at], weights=weights and weights(at), minlength=size).astype(np.int64)
+    return out
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     arrow_batches(spark, 200)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = known.agg(*[F.count(F.when(x, 1)).alias(n) for n, x in (("toxic", F.col("toxic") > 0), ("other", F.col("toxic") <= 0))]).first()
     parts = [known.filter(F.col("toxic") > 0), known.filter(F.col("toxic") <= 0)]
     some = [p.select("doc_id", (F.col("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for p in parts]
     sample = F.broadcast(some[0].unionByName(some[1]))  # 2 * most rows at most
     met = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_key().alias("key")).join(sample, "doc_id")
     # one document a label: neither the sample nor a worker grows with rows that share a doc_id
     found = met.groupBy("doc_id").agg(F.min(F.struct("key", "toxic", "text")).alias("x")).select("x.toxic", "x.text")
-    got = found.mapInArrow(_count, "toxic boolean, words long, features array<int>, counts array<int>").toArrow()
-    return fit(got, total.get(True, 0), total.get(False, 0))
+    model = fit(found.mapInArrow(_count, "toxic boolean, words long, features array<int>, counts array<int>").toArrow(), total["toxic"], total["other"])
+    give_back()  # the driver's part of the sample
+    return model
 
 
 def fit(got: pa.Table, all_toxic: int, all_other: int) -> Model:
@@ -169,29 +179,33 @@ def fit(got: pa.Table, all_toxic: int, all_other: int) -> Model:
         return nothing
     lists = got.column("features").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
-    rows = np.repeat(np.arange(len(toxic)), lengths)
+    rows = np.repeat(np.arange(len(toxic), dtype=np.int32), lengths)
     columns = lists.flatten().to_numpy()
-    values = got.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
+    values = got.column("counts").combine_chunks().flatten().to_numpy()
+    del got, lists
     # an order of the sample that does not hang on partitions
-    order = np.argsort(np.bincount(rows, weights=columns * values, minlength=len(toxic)), kind="stable")
+    order = np.argsort(_summed(rows, len(toxic), lambda at: columns[at].astype(np.float64) * values[at]), kind="stable")
     held = np.zeros(len(toxic), dtype=bool)
     held[order[::5]] = True
     fitted = ~held[rows]
-    with_toxic = np.bincount(columns[fitted & toxic[rows]], minlength=DIMENSIONS)
-    with_other = np.bincount(columns[fitted & ~toxic[rows]], minlength=DIMENSIONS)
+    with_toxic = _summed(columns[fitted & toxic[rows]], DIMENSIONS)
+    with_other = _summed(columns[fitted & ~toxic[rows]], DIMENSIONS)
+    some = np.flatnonzero(with_toxic >= SUPPORT)  # what follows is made for these only
+    with_toxic, with_other = with_toxic[some], with_other[some]
     n_toxic, n_other = max(1, int((toxic & ~held).sum())), max(1, int((~toxic & ~held).sum()))
     a, b = (with_toxic + 0.5) / (n_toxic + 1), (with_other + 0.5) / (n_other + 1)
     sure = np.log(a / b) / np.sqrt(1 / (with_toxic + 0.5) + 1 / (with_other + 0.5))  # of the log ratio, in its errors
-    gain = np.where((with_toxic >= SUPPORT) & (sure >= SURE) & (a > RATIO * b), with_toxic * np.log(a / b), 0.0)
-    entering = np.argsort(-gain, kind="stable")[:ENTERING]
-    entering = entering[gain[entering] > 0]
+    gain = np.where((sure >= SURE) & (a > RATIO * b), with_toxic * np.log(a / b), 0.0)
+    best = np.argsort(-gain, kind="stable")[:ENTERING]
+    best = best[gain[best] > 0]
+    entering = some[best]
     if not len(entering):
         return nothing
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(DIMENSIONS, -1, dtype=np.int32)
     place[entering] = np.arange(len(entering))
     kept = place[columns] >= 0
-    rows, columns, values = rows[kept], place[columns[kept]], np.minimum(values[kept], REPEATS)
-    evidence = np.bincount(rows, weights=values * np.log(a / b)[entering][columns], minlength=len(toxic))
+    rows, columns, values = rows[kept], place[columns[kept]], np.minimum(values[kept], REPEATS).astype(np.float64)
+    evidence = np.bincount(rows, weights=values * np.log(a / b)[best][columns], minlength=len(toxic))
     grades = np.where(toxic, 1 + (evidence > np.median(evidence[toxic])), 0)
     weight = np.where(toxic, max(1, all_toxic) / int(toxic.sum()), max(1, all_other) / int((~toxic).sum()))
     use = ~held[rows]
