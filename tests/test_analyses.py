@@ -174,6 +174,16 @@ def test_standard_files_and_their_fields(spark):
     assert [r.name for r in locations.environment(spark, {"B": "1", "A": "2"}).collect()] == ["A", "B"]
 
 
+def test_a_value_that_many_share_costs_a_row_each(spark):
+    rows = [("location:x", "f", f"s{k}", "token", "same" if k < 300 else f"v{k}", k, k + 1) for k in range(310)]
+    found = spark.createDataFrame(rows, "source string, path string, scope string, name string, value string, start int, end int")
+    fps = found.select("value").distinct().withColumn("fp", F.sha2("value", 256))
+    got = inventory.identified(found, fps)
+    assert all("array" not in kind for _, kind in got.dtypes)
+    want = {(r.id, len(r.same_value_as)) for r in inventory.records(found, fps).collect()}
+    assert {(r.id, r.n_same) for r in got.collect()} == want and len(want) == 310 and {n for _, n in want} == {299, 0}
+
+
 def test_project_texts(spark):
     gh = "ghp_aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zA1bC3"
     texts = {"a.py": f"API_TOKEN = '{gh}'\npassword = get_password()\nsecret = other.name\nkey_token = 'hunter2hunter2'\n", "b.env": f"url=postgres://u:pw1234@h/db\nTOKEN=<your-token>\nTOKEN=$REF\nX={gh}\nY={gh}\n", "c.txt": "sk-proj-REDACTEDREDACTEDREDACTEDREDACTED"}

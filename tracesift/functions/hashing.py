@@ -19,9 +19,8 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 
 def base32(hex_digest: Column, letters: int) -> Column:
     """The first letters of the base32 form of a hex digest."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(hex_digest, 10 * k + 1, 10), 16, 2), 40, "0") for k in range(-(-letters // 8))])
-    digits = [F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(bits, 5 * k + 1, 5), 2, 10).cast("int") + 1, F.lit(1)) for k in range(letters)]
-    return F.concat(*digits)
+    digits = F.concat(*[F.lpad(F.conv(F.substring(hex_digest, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(-(-letters // 8))])
+    return F.substring(F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 1, letters)
 
 
 def credential_id(identity: Column) -> Column:

@@ -135,15 +135,23 @@ def merged(finds: DataFrame) -> DataFrame:
     return got.select("path", "value", F.col("b.name").alias("name"), F.col("b.reason").alias("reason"), "detectors", "places")
 
 
-def records(found: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """Credentials (source, path, scope, name, value) with an id each, and the ids of those with an equal value.
+def identified(found: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """Credentials (source, path, scope, name, value) with an id each, and how many others have an equal value.
 
-    Ids come of what names a credential; where that is not enough, -2, -3 and so on are added in a fixed order.
+    Ids come of what names a credential; where that is not enough, -2, -3 and so on are added in a fixed order. Rows
+    with the same fp are those that are linked: a value that many share costs a row each, not a list in each.
     """
     identity = F.concat_ws("\0", "source", "path", F.coalesce("scope", F.lit("")), "name")
     rows = found.withColumn("base", credential_id(identity)).join(fingerprints.select("value", "fp"), "value", "left")
     n = F.row_number().over(W.partitionBy("base").orderBy("start", "end", "fp"))
     rows = rows.withColumn("id", F.when(n > 1, F.concat_ws("-", "base", n.cast("string"))).otherwise(F.col("base"))).drop("base")
+    same = rows.filter("fp IS NOT NULL").groupBy("fp").agg((F.count(F.lit(1)) - 1).alias("n_same"))
+    return rows.join(same, "fp", "left").withColumn("n_same", F.coalesce("n_same", F.lit(0)))
+
+
+def records(found: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """The same with the ids of all others with an equal value written out: as many as the square of those that share one."""
+    rows = identified(found, fingerprints).drop("n_same")
     same = rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return rows.join(same, "fp", "left").withColumn("same_value_as", F.array_remove(F.coalesce("ids", F.array("id")), F.col("id"))).drop("ids")
 
@@ -191,4 +199,4 @@ def walked(paths: DataFrame, root: str) -> DataFrame:
     return paths.withColumn("unsearched", why)
 
 
-__all__ = ["acceptable", "counts", "detected", "display_path", "environment_split", "field_reason", "merged", "near_miss", "of_locations", "records", "scanned", "unclaimed", "walked"]
+__all__ = ["acceptable", "counts", "detected", "display_path", "environment_split", "field_reason", "identified", "merged", "near_miss", "of_locations", "records", "scanned", "unclaimed", "walked"]
