@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame
@@ -25,9 +26,19 @@ def literal_prefix(pattern: str) -> str:
     return "".join(itertools.takewhile(lambda c: c not in _META, pattern))
 
 
-def gate(classes: tuple[SourceClass, ...]) -> str:
-    """One pattern that every text with a match of any class matches: texts are scanned once for all classes."""
-    return "|".join(f"(?:{c.pattern})" for c in classes)
+def needed(text, c: SourceClass):
+    """Does a text hold the letters without which a class's pattern cannot match: a plain search, before any regex is tried. True where none are known."""
+    where = F.lower(text) if c.pattern.startswith("(?i)") else text
+    return functools.reduce(lambda a, b: a | b, [F.contains(where, F.lit(x)) for x in c.needs]) if c.needs else F.lit(True)
+
+
+def gate(text, classes: tuple[SourceClass, ...]):
+    """True for every text with a match of any class: the regexes of all classes that need the same letters are tried together, and only where the text holds them."""
+    groups: dict[tuple, list[SourceClass]] = {}
+    for c in classes:
+        groups.setdefault((c.needs, c.pattern.startswith("(?i)")), []).append(c)
+    tests = [needed(text, same[0]) & text.rlike("|".join(f"(?:{c.pattern})" for c in same)) for same in groups.values()]
+    return functools.reduce(lambda a, b: a | b, tests)
 
 
 def candidates(surfaces: DataFrame, classes: tuple[SourceClass, ...]) -> DataFrame:
@@ -44,11 +55,11 @@ def candidates(surfaces: DataFrame, classes: tuple[SourceClass, ...]) -> DataFra
         z = F.arrays_zip(pieces.alias("p"), whole.alias("m"), F.regexp_extract_all("text", F.lit(c.pattern), c.group).alias("v"))
         none = F.expr("cast(array() AS array<struct<start: int, whole: string, value: string>>)")
         at = F.aggregate(
-            F.when(F.col("text").rlike(c.pattern), z), F.struct(F.lit(0).alias("at"), none.alias("list")),
+            F.when(needed(F.col("text"), c) & F.col("text").rlike(c.pattern), z), F.struct(F.lit(0).alias("at"), none.alias("list")),
             lambda a, x: F.struct((a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(x["m"].isNull(), a["list"]).otherwise(F.concat(a["list"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), x["m"].alias("whole"), x["v"].alias("value"))))).alias("list")),
             lambda a: a["list"])
         each.append(F.transform(F.coalesce(at, none), _ranked(rank)))
-    some = surfaces.filter(F.col("text").rlike(gate(classes)))
+    some = surfaces.filter(gate(F.col("text"), classes))
     rows = some.select("surface", "record", F.explode(F.concat(*each)).alias("h")).select("surface", "record", "h.*")
     is_ = lambda c: F.col("rank") == ordered.index(c)
     pick = lambda of, default: _choose([(is_(c), of(c)) for c in classes], default)
